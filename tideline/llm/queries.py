@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii
+from . import decontam, pii, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL, "op9_substring_dedup": substring.ORACLE_SQL}
