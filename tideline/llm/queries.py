@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, substring
+from . import chat, decontam, packing, pii, rules, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_read(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark, _read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat": op10_chat,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL, "op9_substring_dedup": substring.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL, "op9_substring_dedup": substring.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
