@@ -10,18 +10,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of column numbers, each with value 1, for products without a sparse library."""
+    """Rows of (column numbers, values), for products without a sparse library."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
-        self.columns = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.columns = np.concatenate([r[0] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        self.values = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
+        self.row = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.columns], minlength=self.n)
+        return np.bincount(self.row, self.values * w[self.columns], minlength=self.n)
 
     def back(self, e: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.columns, e[self.row], minlength=size)
+        return np.bincount(self.columns, self.values * e[self.row], minlength=size)
 
 
 def logistic(dot, back, size: int, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: hash, document key, position (negative: a witness, whose own reference is known already).
+#: hash, document key, position (negative: a witness of that many known references).
 REF = np.dtype([("hash", "<i8"), ("key", "<i8"), ("pos", "<i4")])
 #: References that a task gathers before it writes them out; bounds its memory.
 GATHER = 1 << 21
@@ -49,7 +49,7 @@ class Gather:
         many = np.repeat(size > 1, size)
         known, search = refs[many], refs[~many]
         witness = refs[first[size > 1]]
-        witness["pos"] = -1
+        witness["pos"] = -size[size > 1]
         yield from self._batch(np.concatenate((search, witness)), "hash", False)
         yield from self._batch(known, "key", True)
 
@@ -82,9 +82,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     refs = refs[np.argsort(refs["hash"], kind="stable")]
     _, size = runs(refs["hash"])
     found = refs[np.repeat(size > 1, size) & (refs["pos"] >= 0)] if len(refs) else refs
-    n = np.repeat(size, size)[np.repeat(size > 1, size) & (refs["pos"] >= 0)] if len(refs) else np.zeros(0, np.int64)
     del refs
-    for part, counts in ((found, n), (np.concatenate(known or [np.empty(0, REF)]), None)):
+    for part in (found, np.concatenate(known or [np.empty(0, REF)])):
         order = np.argsort(part["key"], kind="stable")
         part = part[order]
         at, size = runs(part["key"])

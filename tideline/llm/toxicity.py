@@ -1,4 +1,8 @@
-"""Toxicity: a linear classifier over presence of character n-grams scaled by naive Bayes log-count ratios."""
+"""Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
+
+Each n-gram gives two features: whether the text holds it, scaled by the log ratio of the
+shares of texts, and how dense it is there, scaled by the log ratio of counts.
+"""
 
 from __future__ import annotations
 
@@ -19,15 +23,18 @@ SAMPLE = 6_000
 #: n-grams are runs of so many bytes of the lower-cased text, hashed into 2**BITS features.
 SIZES, BITS = (4, 6), 18
 #: Features that are kept, by the size of their ratio and support, and texts of a class that must hold one.
-FEATURES, SUPPORT, ALPHA = 20_000, 4, 1.0
+FEATURES, SUPPORT, ALPHA = 12_000, 5, 1.0
+#: Ridge and steps of the fit.
+L2, STEPS = 1e-3, 250
 POSITIVE_FROM = 0.7
 
 
 @dataclass
 class Model:
-    """weights of all hashed features (ratio times coefficient, 0 where unused), intercept and calibration."""
+    """Weights of all hashed n-grams, of presence and of density (ratio times coefficient, 0 where unused), intercept and calibration."""
 
-    weights: np.ndarray
+    present: np.ndarray
+    dense: np.ndarray
     intercept: float
     a: float = 1.0
     b: float = 0.0
@@ -54,15 +61,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield code[inside].astype(np.int64), owner[:count][inside]
 
 
-def _presence(text_col: str, columns: list[str]):
+def density(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.log1p(2000.0 * counts / (size + 400.0))
+
+
+def _counts(text_col: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            grams, counts, sizes = [], [], []
             for row, end, data, offsets in chunks(b.column(text_col)):
-                pairs = np.unique(np.concatenate([(d << BITS) | f for f, d in features(data, offsets)] or [np.zeros(0, np.int64)]))
-                cut = np.searchsorted(pairs, np.arange(end - row + 1) << BITS)
-                out += [(pairs[i:j] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(out, pa.binary())], [*columns, "features"])
+                pairs, times = np.unique(np.concatenate([(d << BITS) | f for f, d in features(data, offsets)] or [np.zeros(0, np.int64)]), return_counts=True)
+                cut = np.searchsorted(pairs, np.arange(end - row + 1) << BITS).tolist()
+                gram, times = (pairs & ((1 << BITS) - 1)).astype(np.int32), times.astype(np.int32)
+                grams += [gram[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                counts += [times[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                sizes.append(np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(grams, pa.binary()), pa.array(counts, pa.binary()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], [*columns, "grams", "counts", "size"])
 
     return run
 
@@ -74,48 +88,58 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     chosen = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "__y"), "toxicity-sample")  # bounded, so it can be broadcast
-    held = documents.select("doc_id", text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", text_col)
-    got = held.mapInArrow(_presence(text_col, ["doc_id", "__y"]), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, __y int, features binary").drop("doc_id").toPandas()
-    y = got["__y"].to_numpy(dtype=float)
-    found = [np.frombuffer(x, np.int32) for x in got["features"]]
-    weights = np.zeros(1 << BITS, np.float32)
+    held = documents.select("doc_id", text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", text_col)
+    got = held.mapInArrow(_counts(text_col, ["__id", "__y"]), f"__id {documents.schema['doc_id'].dataType.simpleString()}, __y int, grams binary, counts binary, size bigint").toPandas()
+    got = got.sort_values(["__id", "size"], kind="stable")
+    y, size = got["__y"].to_numpy(dtype=float), got["size"].to_numpy()
+    none = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
-        return Model(weights, float(np.log(share / (1 - share))))
-    pos = np.bincount(np.concatenate([f for f, t in zip(found, y, strict=True) if t]), minlength=1 << BITS).astype(float)
-    neg = np.bincount(np.concatenate([f for f, t in zip(found, y, strict=True) if not t]), minlength=1 << BITS).astype(float)
-    # Ratios of the shares of texts of each class that hold the feature.
-    ratio = np.log((pos + ALPHA) / (y.sum() + 2 * ALPHA)) - np.log((neg + ALPHA) / (len(y) - y.sum() + 2 * ALPHA))
-    worth = np.where(np.maximum(pos, neg) >= SUPPORT, np.abs(ratio) * np.sqrt(np.minimum(pos + neg, 400)), 0)
+        return Model(none, none, float(np.log(share / (1 - share))))
+    grams, counts = [[np.frombuffer(x, np.int32) for x in got[c]] for c in ("grams", "counts")]
+    texts, totals = [], []  # for each class: texts with the n-gram, and its occurrences
+    for side in (1, 0):
+        own = [k for k in range(len(y)) if y[k] == side]
+        f = np.concatenate([grams[k] for k in own])
+        texts.append(np.bincount(f, minlength=1 << BITS).astype(float))
+        totals.append(np.bincount(f, np.concatenate([counts[k] for k in own]), minlength=1 << BITS))
+    n = np.array([y.sum(), len(y) - y.sum()])
+    by_text = np.log((texts[0] + ALPHA) / (n[0] + 2 * ALPHA)) - np.log((texts[1] + ALPHA) / (n[1] + 2 * ALPHA))
+    by_count = np.log((totals[0] + ALPHA) / (totals[0].sum() + 1)) - np.log((totals[1] + ALPHA) / (totals[1].sum() + 1))
+    worth = np.maximum(np.abs(by_text), np.abs(by_count)) * np.sqrt(np.minimum(texts[0] + texts[1], 400))
+    worth[np.maximum(texts[0], texts[1]) < SUPPORT] = 0
     kept = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
     kept = kept[worth[kept] > 0]
+    m = len(kept)
     place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    r = ratio[kept]
-    x = linear.Sparse([p[p >= 0] for p in (place[f] for f in found)])
+    place[kept] = np.arange(m)
+    rows = []
+    for g, c, s in zip(grams, counts, size, strict=True):
+        at = place[g]
+        c, at = c[at >= 0], at[at >= 0]
+        rows.append((np.concatenate((at, at + m)), np.concatenate((by_text[kept[at]], by_count[kept[at]] * density(c, s)))))
     fold = np.arange(len(y)) % 5 == 0  # for calibration
-    train = linear.Sparse([p[p >= 0] for p, f in zip((place[f] for f in found), fold, strict=True) if not f])
-    w, b = linear.logistic(lambda w: train.dot(w * r), lambda e: train.back(e, len(r)) * r, len(r), y[~fold], l2=2e-3, steps=200, rate=0.02)
-    margin = x.dot(w * r) + b
+    train, all_rows = linear.Sparse([r for r, f in zip(rows, fold, strict=True) if not f]), linear.Sparse(rows)
+    w, b = linear.logistic(train.dot, lambda e: train.back(e, 2 * m), 2 * m, y[~fold], l2=L2, steps=STEPS, rate=0.01)
+    margin = all_rows.dot(w) + b
     a, c = linear.platt(margin[fold], y[fold]) if 0 < y[fold].sum() < fold.sum() else (1.0, 0.0)
-    weights[kept] = w * r
-    return Model(weights, b, max(a, 1e-3), c)
+    present, dense = none.copy(), none.copy()
+    present[kept], dense[kept] = w[:m] * by_text[kept], w[m:] * by_count[kept]
+    return Model(present, dense, b, max(a, 1e-3), c)
 
 
 def _score(model: Model, text_col: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(1 << BITS, np.int64)
+        used = (model.present != 0) | (model.dense != 0)
         for b in batches:
             parts = []
             for row, end, data, offsets in chunks(b.column(text_col)):
-                n, total = end - row, np.zeros(end - row)
+                n, size, total = end - row, np.diff(offsets), np.zeros(end - row)
                 for f, d in features(data, offsets):
-                    used = model.weights[f] != 0
-                    f, d = f[used], d[used]
-                    pairs = (d << BITS) | f
-                    # Each feature counts once in a text: the last place that it was seen at stands for it.
-                    pairs = np.unique(pairs) if n > 1 else _last(f, mark)
-                    total += np.bincount(pairs >> BITS, model.weights[pairs & ((1 << BITS) - 1)], minlength=n)
+                    held = used[f]
+                    pairs, times = np.unique((d[held] << BITS) | f[held], return_counts=True)
+                    doc, gram = pairs >> BITS, pairs & ((1 << BITS) - 1)
+                    total += np.bincount(doc, model.present[gram] + model.dense[gram] * density(times, size[doc]), minlength=n)
                 parts.append(total)
             margin = np.concatenate(parts) + model.intercept if parts else np.zeros(0)
             score = linear.sigmoid(model.a * margin + model.b)
@@ -124,11 +148,6 @@ def _score(model: Model, text_col: str, columns: list[str]):
     return run
 
 
-def _last(f: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    mark[f] = np.arange(len(f))
-    return f[mark[f] == np.arange(len(f))]
-
-
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score, the calibrated chance of the label, and predicted (score >= 0.7). Null is an empty text and has a score too."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double, predicted int"
