@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Most rows of a written table that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: And most bytes, as the optimiser knows them from the files.
+BROADCAST_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @functools.cache
@@ -38,7 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Nothing reads this plan's shuffle files once its rows are written, so they can go at once.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_quiet_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,10 +60,10 @@ def _quiet_drop(spark: SparkSession, path: str) -> None:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most so many rows (counted now), else df as it is. For tables from written()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+    """df with a broadcast hint if it is at most so many rows (counted now) and BROADCAST_BYTES in its files, else df as it is.
 
-def rows_in_parts(df: DataFrame) -> DataFrame:
-    """df, over more partitions if its files make fewer than the cluster has cores."""
-    return df
+    For tables from written(), or projections of them.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

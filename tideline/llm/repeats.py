@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: hash, document key, position (negative: a witness of that many known references).
 REF = np.dtype([("hash", "<i8"), ("key", "<i8"), ("pos", "<i4")])
+PLACE, SPAN = np.dtype([("key", "<i8"), ("pos", "<i4")]), np.dtype([("key", "<i8"), ("pos", "<i4", (2,))])
 #: References that a task gathers before it writes them out; bounds its memory.
 GATHER = 1 << 21
 SCHEMA = "bucket int, refs binary, known boolean"
@@ -72,34 +73,61 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate((at, [len(x)])))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, search = [], []
-    for b in batches:
-        for blob, k in zip(b.column("refs").to_pylist(), b.column("known").to_pylist(), strict=True):
-            (known if k else search).append(np.frombuffer(blob, REF))
-    refs = np.concatenate(search or [np.empty(0, REF)])
-    search.clear()
-    refs = refs[np.argsort(refs["hash"], kind="stable")]
-    _, size = runs(refs["hash"])
-    found = refs[np.repeat(size > 1, size) & (refs["pos"] >= 0)] if len(refs) else refs
-    del refs
-    for part in (found, np.concatenate(known or [np.empty(0, REF)])):
-        order = np.argsort(part["key"], kind="stable")
-        part = part[order]
-        at, size = runs(part["key"])
+def by_bucket(key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket of the key, packed places). pos: a number for each key, or a pair."""
+    bucket = (key.view(np.uint64) >> np.uint64(20)) % np.uint64(n)
+    order = np.argsort(bucket, kind="stable")
+    at, size = runs(bucket[order])
+    if len(at):
+        held = np.empty(len(key), PLACE if pos.ndim == 1 else SPAN)
+        held["key"], held["pos"] = key[order], pos[order]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at].astype(np.int32)), pa.array([held[a : a + k].tobytes() for a, k in zip(at, size, strict=True)], pa.binary())], ["bucket", "places"])
+
+
+def _meet(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, search = [], []
+        for b in batches:
+            for blob, k in zip(b.column("refs").to_pylist(), b.column("known").to_pylist(), strict=True):
+                (known if k else search).append(np.frombuffer(blob, REF))
+        refs = np.concatenate(search or [np.empty(0, REF)])
+        search.clear()
+        refs = refs[np.argsort(refs["hash"], kind="stable")]
+        _, size = runs(refs["hash"])
+        found = refs[np.repeat(size > 1, size) & (refs["pos"] >= 0)]
+        del refs
+        for part in (found, np.concatenate(known or [np.empty(0, REF)])):
+            yield from by_bucket(part["key"].copy(), part["pos"], n)
+
+    return run
+
+
+def _collect(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, kind) for b in batches for x in b.column("places").to_pylist()]
+        places = np.concatenate(held or [np.empty(0, kind)])
+        held.clear()
+        places = places[np.argsort(places["key"], kind="stable")]
+        at, size = runs(places["key"])
         for i in range(0, len(at), 5000):
-            blobs = [part["pos"][a : a + k].tobytes() for a, k in zip(at[i : i + 5000], size[i : i + 5000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part["key"][at[i : i + 5000]]), pa.array(blobs, pa.binary())], ["__key", "places"])
+            blobs = [[places["pos"][a : a + k].tobytes()] for a, k in zip(at[i : i + 5000], size[i : i + 5000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(places["key"][at[i : i + 5000]]), pa.array(blobs, pa.list_(pa.binary()))], ["__key", "places"])
+
+    return run
+
+
+def by_key(rows: DataFrame, pairs: bool = False) -> DataFrame:
+    """(__key, places) from rows (bucket, places) of by_bucket: all of a document's places in one packed binary, in a list."""
+    return rows.repartitionById(buckets(rows), F.col("bucket")).mapInArrow(_collect(SPAN if pairs else PLACE), "__key bigint, places array<binary>")
 
 
 def repeated(refs: DataFrame) -> DataFrame:
-    """(__key, places): for each document key the positions, as a list of packed int32, whose hash has another reference.
+    """(__key, places): for each document key the positions, as packed int32 in a list, whose hash has another reference.
 
     refs: of SCHEMA, made by Gather. Two references count although document and position are equal (repeated rows).
     """
     n = buckets(refs)
-    met = refs.repartitionById(n, F.col("bucket")).mapInArrow(_meet, "__key bigint, places binary")
-    return met.groupBy("__key").agg(F.collect_list("places").alias("places"))
+    return by_key(refs.repartitionById(n, F.col("bucket")).mapInArrow(_meet(n), "bucket int, places binary"))
 
 
 def positions(blobs: list[bytes] | None) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._state import small_side, written
+from ._state import written
 from ._text import chunks, windows, words
 
 WINDOW = 35
@@ -121,11 +121,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW,
     slim = keyed.select("__key", text_col)
     n = repeats.buckets(df)
     anchors = written(repeats.repeated(slim.mapInArrow(_anchors(window, text_col, n), repeats.SCHEMA)), "cover-anchors")
-    near = slim.join(small_side(anchors), "__key").mapInArrow(_extended(window, text_col, n), repeats.SCHEMA)
+    near = slim.join(anchors, "__key").mapInArrow(_extended(window, text_col, n), repeats.SCHEMA)
     found = written(repeats.repeated(near), "cover-windows")
     columns = [c for c in df.columns if c != text_col or with_text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns) + ", " + RESULT + ", kept_text string" * with_text
-    return keyed.join(small_side(found), "__key", "left").mapInArrow(_cut(window, text_col, columns, with_text), schema)
+    return keyed.join(found, "__key", "left").mapInArrow(_cut(window, text_col, columns, with_text), schema)
 
 
 def report(documents: DataFrame) -> DataFrame:
