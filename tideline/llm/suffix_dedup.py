@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, suffixes
-from ._state import small_side, written
+from ._state import without, written
 from ._text import BYTES, U64, chunks, mix
 
 LENGTH, GRAM = 200, 40
@@ -103,7 +103,7 @@ FRAGMENT = "shard int, hash bigint, __key bigint, start int, fragment binary, pl
 
 def _chosen(b: pa.RecordBatch, text_col: str, length: int) -> Iterator[tuple]:
     """Fragments of the repeated anchors in each chunk of a batch."""
-    keys, found = b.column("__key").to_numpy(zero_copy_only=False), b.column("places").to_pylist()
+    keys, found = b.column("__key").to_numpy(zero_copy_only=False), b.column("__places").to_pylist()
     for row, end, data, offsets in chunks(b.column(text_col)):
         roll = Rolling(data)
         h, at, s1, s2, doc = fragments(data, offsets, length, roll)
@@ -206,13 +206,14 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
-def _shard(length: int):
+def _shard(length: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, starts, texts = [], [], [], []
         for b in batches:
             known = b.filter(b.column("places").is_valid())
             if len(known):
-                yield pa.RecordBatch.from_arrays([known.column("__key"), known.column("places")], ["__key", "places"])
+                spans = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in known.column("places").to_pylist()]
+                yield from repeats.by_bucket(np.repeat(known.column("__key").to_numpy(zero_copy_only=False), [len(x) for x in spans]), np.concatenate(spans), n_buckets)
             sent = b.filter(b.column("places").is_null())
             hashes.append(sent.column("hash").to_numpy(zero_copy_only=False).astype(np.int64))
             keys.append(sent.column("__key").to_numpy(zero_copy_only=False).astype(np.int64))
@@ -257,10 +258,7 @@ def _shard(length: int):
             decide()
         if hits:
             key = np.concatenate([np.full(len(s), k, np.int64) for k, s in hits])
-            ks, spans, cut = _by_key(key, np.concatenate([s for _, s in hits]).astype(np.int32))
-            for i in range(0, len(ks), 5000):
-                blobs = [spans[a:b].tobytes() for a, b in zip(cut[i : i + 5000], cut[i + 1 : i + 5001], strict=False)][: len(ks[i : i + 5000])]
-                yield pa.RecordBatch.from_arrays([pa.array(ks[i : i + 5000]), pa.array(blobs, pa.binary())], ["__key", "places"])
+            yield from repeats.by_bucket(key, np.concatenate([s for _, s in hits]).astype(np.int32), n_buckets)
 
     return run
 
@@ -298,7 +296,7 @@ RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 def _cut(length: int, text_col: str, columns: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, hot = b.column("spans").to_pylist(), b.column("places").to_pylist()
+            spans, hot = b.column("__spans").to_pylist(), b.column("__places").to_pylist()
             rows = []
             for row, end, data, offsets in chunks(b.column(text_col)):
                 for d in range(end - row):
@@ -331,6 +329,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
+    df = without(df, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
     keyed = df.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
     slim = keyed.select("__key", text_col)
     n = repeats.buckets(df)
@@ -338,16 +337,16 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     common = refs.mapInArrow(_count, "hash bigint, places bigint").groupBy("hash").agg(F.sum("places").alias("places")).where(F.col("places") >= HOT_FROM)
     hot = np.array(sorted(r["hash"] for r in common.orderBy(F.desc("places"), "hash").limit(HOT_LIST).collect()), np.int64)
     anchors = written(repeats.repeated(refs), "suffix-anchors")
-    near = slim.join(small_side(anchors), "__key")
+    near = slim.join(anchors.withColumnRenamed("places", "__places"), "__key")
     shards = near.mapInArrow(_deal(length, text_col, n, hot), FRAGMENT).repartitionById(n, F.col("shard"))
-    spans = shards.mapInArrow(_shard(length), "__key bigint, places binary").groupBy("__key").agg(F.collect_list("places").alias("spans"))
+    spans = repeats.by_key(shards.mapInArrow(_shard(length, n), "bucket int, places binary"), pairs=True).withColumnRenamed("places", "__spans")
     spans = written(spans, "suffix-spans")
-    out = keyed.join(small_side(spans), "__key", "left")
+    out = keyed.join(spans, "__key", "left")
     if len(hot):
         places = written(repeats.repeated(near.mapInArrow(_hot_strings(length, text_col, n, hot), repeats.SCHEMA)), "suffix-hot")
-        out = out.join(small_side(places), "__key", "left")
+        out = out.join(places.withColumnRenamed("places", "__places"), "__key", "left")
     else:
-        out = out.withColumn("places", F.expr("cast(null as array<binary>)"))
+        out = out.withColumn("__places", F.expr("cast(null as array<binary>)"))
     columns = [c for c in df.columns if c != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns) + ", " + RESULT + ", kept_bytes binary" * with_text
     return out.mapInArrow(_cut(length, text_col, columns, with_text), schema)
