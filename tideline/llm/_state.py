@@ -52,6 +52,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns that results are about to take the names of."""
+    return df.drop(*[n for n in names if n in df.columns])
+
+
 def _quiet_drop(spark: SparkSession, path: str) -> None:
     try:
         _drop(spark, path)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._state import without, written
+
 CAPACITY = 2048
 #: Pieces packed together: enough that each length finds its partners, few enough for one task.
 GROUP = 5_000
@@ -63,6 +65,7 @@ def tokenised(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col:
 
     A document is its token ids and an id 0 after them; null is an empty text. Only longer ones are cut, into full pieces and a rest.
     """
+    df = without(df, "piece", "start", "length", "ids_crc32", "ids")
     columns = [c for c in df.columns if c != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns) + ", piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
     out = df.mapInArrow(_pieces(tokenizer, capacity, text_col, columns), schema)
@@ -153,6 +156,7 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, group: int
     pieces must be a written table: its row numbers deal the pieces over n_pieces / group groups, n_pieces being about how many
     there are, so that no group grows with the data or with repeated rows.
     """
+    pieces = without(pieces, "sequence_id", "offset")
     groups = max(1, round(n_pieces / group))
     dealt = pieces.withColumn("__order", F.monotonically_increasing_id()).withColumn("__group", F.pmod(F.xxhash64("__order"), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id bigint, offset bigint"
@@ -167,7 +171,5 @@ def public_tokenizer() -> str:
 
 def report(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The query's columns for documents(doc_id, text)."""
-    from ._state import written
-
     pieces = written(tokenised(documents.select("doc_id", "text"), tokenizer or public_tokenizer(), keep_ids=False), "packing-pieces")
     return pack(pieces, pieces.count())

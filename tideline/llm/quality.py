@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import written
+from ._state import without, written
 from ._text import chunks
 
 #: Rows that are fitted on at most: labelled ones, and unlabelled ones that may get pseudo-labels.
@@ -171,6 +171,7 @@ def _score(model: Model, text_col: str, columns: list[str]):
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df(lang, source, text, ...) with quality_score (0 to 1) and accepted (score >= 0.5). Null texts are empty, null lang and source are values of their own."""
+    df = without(df, "quality_score", "accepted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", quality_score double, accepted boolean"
     return df.mapInArrow(_score(model, text_col, df.columns), schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._state import small_side, written
+from ._state import small_side, without, written
 from ._text import chunks, draws, mix, windows, words
 
 #: Buckets of the two multinomials, bytes in an n-gram, and what is added to each bucket's count.
@@ -119,6 +119,7 @@ def score(df: DataFrame, trusted: DataFrame, text_col: str = "text", threshold:
     llr is the mean log-likelihood ratio of the text's n-grams; kept needs the rules to pass and llr >= threshold.
     Null is an empty text; texts of under 50 words fail the rules. A text of fewer bytes than an n-gram has llr 0.
     """
+    df = without(df, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, llr double"
     return df.mapInArrow(_measure(log_ratios(df, trusted, text_col), threshold, text_col, df.columns), schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._state import written
+from ._state import without, written
 from ._text import chunks, windows, words
 
 WINDOW = 35
@@ -61,7 +61,7 @@ def _extended(window: int, text_col: str, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, reach = repeats.Gather(n_buckets), PERIOD
         for b in batches:
-            keys, found = b.column("__key").to_numpy(zero_copy_only=False), b.column("places").to_pylist()
+            keys, found = b.column("__key").to_numpy(zero_copy_only=False), b.column("__places").to_pylist()
             for row, end, data, offsets in chunks(b.column(text_col)):
                 w = words(data, offsets)
                 h, at = windows(w, window)
@@ -87,7 +87,7 @@ RESULT = "n_words bigint, n_removed bigint, kept_sha256 string"
 def _cut(window: int, text_col: str, columns: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, rows = b.column("places").to_pylist(), []
+            found, rows = b.column("__places").to_pylist(), []
             for row, end, data, offsets in chunks(b.column(text_col)):
                 w = words(data, offsets)
                 raw = data.tobytes()
@@ -117,15 +117,16 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW,
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD}")
+    df = without(df, "n_words", "n_removed", "kept_sha256", "kept_text")
     keyed = _keyed(df, text_col)
     slim = keyed.select("__key", text_col)
     n = repeats.buckets(df)
     anchors = written(repeats.repeated(slim.mapInArrow(_anchors(window, text_col, n), repeats.SCHEMA)), "cover-anchors")
-    near = slim.join(anchors, "__key").mapInArrow(_extended(window, text_col, n), repeats.SCHEMA)
+    near = slim.join(anchors.withColumnRenamed("places", "__places"), "__key").mapInArrow(_extended(window, text_col, n), repeats.SCHEMA)
     found = written(repeats.repeated(near), "cover-windows")
     columns = [c for c in df.columns if c != text_col or with_text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns) + ", " + RESULT + ", kept_text string" * with_text
-    return keyed.join(found, "__key", "left").mapInArrow(_cut(window, text_col, columns, with_text), schema)
+    return keyed.join(found.withColumnRenamed("places", "__places"), "__key", "left").mapInArrow(_cut(window, text_col, columns, with_text), schema)
 
 
 def report(documents: DataFrame) -> DataFrame:

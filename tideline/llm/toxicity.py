@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import written
+from ._state import without, written
 from ._text import chunks, lower_ascii
 
 #: Labelled rows that the classifier is fitted on at most: those whose id hashes lowest.
@@ -150,6 +150,7 @@ def _score(model: Model, text_col: str, columns: list[str]):
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score, the calibrated chance of the label, and predicted (score >= 0.7). Null is an empty text and has a score too."""
+    df = without(df, "score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double, predicted int"
     return df.mapInArrow(_score(model, text_col, df.columns), schema)
 
