@@ -23,9 +23,9 @@ SAMPLE = 6_000
 #: n-grams are runs of so many bytes of the lower-cased text, hashed into 2**BITS features.
 SIZES, BITS = (4, 6), 18
 #: Features that are kept, by the size of their ratio and support, and texts of a class that must hold one.
-FEATURES, SUPPORT, ALPHA = 12_000, 5, 1.0
+FEATURES, SUPPORT, ALPHA = 4_000, 5, 1.0
 #: Ridge and steps of the fit.
-L2, STEPS = 1e-3, 250
+L2, STEPS = 1e-2, 200
 POSITIVE_FROM = 0.7
 
 
