@@ -23,8 +23,8 @@ from ._state import without, written
 CAPACITY = 2048
 #: Pieces packed together: enough that each length finds its partners, few enough for one task.
 GROUP = 5_000
-#: Texts tokenised in one call hold about so many characters.
-BATCH_CHARS = 1 << 20
+#: Texts tokenised in one call hold about so many characters; ids of so many different words are remembered.
+BATCH_CHARS, REMEMBERED = 1 << 20, 400_000
 
 
 @cache
@@ -37,9 +37,45 @@ def _tokenizer(path: str):
     return t
 
 
+class Encoder:
+    """Ids of texts as packed uint32, word by word, each different word encoded once.
+
+    Only for tokenizers whose tokens never reach over a space or newline (white space dropped, words by themselves), as
+    independent_words finds out; for others each text is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.tok, self.known = _tokenizer(path), {"": b""}
+        self.by_word = independent_words(path)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        new = list({w for s in split for w in s}.difference(self.known))
+        if new:
+            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join([self.known[w] for w in s]) for s in split]
+
+
+@cache
+def independent_words(path: str) -> bool:
+    """Whether the tokenizer drops white space before it looks at words: no template is added, and its splitter removes what lies between."""
+    import json
+
+    spec = json.loads(_tokenizer(path).to_str())
+    splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
+    first = splitters[0] if splitters else {}
+    drops = first.get("type") in ("Whitespace", "WhitespaceSplit") or first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern"))
+    return bool(drops) and spec["model"].get("type") == "BPE"
+
+
 def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        encoder = Encoder(path)
         for b in batches:
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             row = 0
@@ -49,9 +85,10 @@ def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
                     size += len(texts[end])
                     end += 1
                 out = []
-                for i, enc in enumerate(tok.encode_batch(texts[row:end], add_special_tokens=False), row):
-                    ids = np.array([*enc.ids, 0], "<u4")
-                    out += [(i, k, s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity].tobytes()), ids[s : s + capacity].tobytes()) for k, s in enumerate(range(0, len(ids), capacity))]
+                for i, ids in enumerate(encoder.ids(texts[row:end]), row):
+                    ids += bytes(4)
+                    pieces = [ids[s : s + 4 * capacity] for s in range(0, len(ids), 4 * capacity)]
+                    out += [(i, k, k * capacity, len(p) // 4, zlib.crc32(p), p) for k, p in enumerate(pieces)]
                 at = pa.array([x[0] for x in out], pa.int64())
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in columns] + [pa.array([x[k + 1] for x in out], t) for k, t in enumerate(kinds)], [*columns, "piece", "start", "length", "ids_crc32", "ids"])
