@@ -26,8 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Height of the lowest rank region.
 UNIT = 1 / 16
-#: Rounds of one comparison for each document and bucket, before all pairs that could still join two classes.
-STARS = 2
+#: Further rounds of one comparison for each document and bucket, before all pairs that could still join two classes.
+STARS = 1
 
 
 def _poisson(levels: int = 26) -> list[np.ndarray]:
@@ -138,10 +138,14 @@ def _sign(text_col: str, size: int):
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each node, and a fine one for each two bands together."""
     for b in batches:
         nodes = b.column("node").to_numpy(zero_copy_only=False)
-        bands = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(nodes, BANDS))], ["bucket", "node"])
+        bands = np.frombuffer(b"".join(b.column("bands").to_pylist()), U64).reshape(-1, BANDS)
+        fine = mix(bands[:, 0::2] + mix(bands[:, 1::2]))
+        for keys, is_fine in ((bands, False), (fine, True)):
+            n = keys.size
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, keys.shape[1])), pa.array(np.full(n, is_fine))], ["bucket", "node", "fine"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -183,26 +187,33 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
     Shingles are weighted by how often the text holds them. Texts without a word (null, empty, blank) are equal only to
     texts that are the same, null being empty. A null doc_id is a document too, but the least id only where all are null.
 
-    Equal texts are joined first. Every document is then compared with the least one of its buckets; buckets that still
-    hold several classes are compared with another member, and at last in all pairs of different classes that share a
-    bucket, so no candidate is left out.
+    Equal texts are joined first. Every document is then compared with the least one of all its buckets, and with the
+    least one of each fine bucket (two bands together, whose documents are similar nearly always, so that even a large
+    group whose members differ among themselves grows together). Buckets that still hold several classes are compared
+    with another member, and at last in all pairs of different classes that share a bucket, so no candidate is left out.
     """
     docs = df.select("doc_id", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_sign("text", size), f"doc_id {kind}, node bigint, bands binary"), "minhash-signed")
     nodes = written(signed.groupBy("node", "bands").agg(F.min("doc_id").alias("rep")), "minhash-nodes")
-    rows = nodes.where("bands is not null").select("node", "bands").mapInArrow(_explode, "bucket bigint, node bigint")
+    rows = nodes.where("bands is not null").select("node", "bands").mapInArrow(_explode, "bucket bigint, node bigint, fine boolean")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
     # Only buckets of several nodes go on.
-    rows = written(rows.join(shared, "bucket").select("bucket", "node", "head"), "minhash-rows")
-    first = written(rows.groupBy("node").agg(F.min("head").alias("head")).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "minhash-pairs")
+    rows = written(rows.join(shared, "bucket").select("bucket", "node", "head", "fine"), "minhash-rows")
+    least_head = rows.where("not fine").groupBy("node").agg(F.min("head").alias("head"))
+    heads = least_head.union(rows.where("fine").select("node", "head")).where("node <> head").distinct()
+    first = written(heads.select(F.col("node").alias("a"), F.col("head").alias("b")), "minhash-pairs")
+    rows = rows.where("not fine")
     links = written(_linked(first, docs, nodes, size, least), "minhash-links")
-    tried = first
+    tried, labels = first, components(links)
     for turn in range(STARS + 1):
-        labels = components(links)
-        known = written(rows.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-known")
+        # Buckets whose documents are not all in one class yet.
+        known = rows.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        known = written(known, "minhash-known")
         mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         open_ = written(known.join(mixed, "bucket"), "minhash-open")
+        if open_.isEmpty():
+            break
         if turn < STARS:
             turned = 0x5DEECE66D1CE4E5B >> turn
             head = open_.groupBy("bucket").agg(F.min(F.struct(F.col("node").bitwiseXOR(F.lit(turned)).alias("o"), "node", "label")).alias("h")).select("bucket", F.col("h.node").alias("head"), F.col("h.label").alias("head_label"))
@@ -213,9 +224,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
         pairs = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         if pairs.isEmpty():
             continue
-        links = written(links.union(_linked(pairs, docs, nodes, size, least)), "minhash-links")
-        tried = written(tried.union(pairs), "minhash-tried")
-    labels = components(links)
+        more = written(_linked(pairs, docs, nodes, size, least), "minhash-links")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
     classes = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     names = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = written(classes.join(names, "label").select("node", "class_id"), "minhash-classes")
