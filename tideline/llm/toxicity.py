@@ -19,7 +19,7 @@ from ._state import without, written
 from ._text import chunks, lower_ascii
 
 #: Labelled rows that the classifier is fitted on at most: those whose id hashes lowest.
-SAMPLE = 6_000
+SAMPLE = 3_000
 #: n-grams are runs of so many bytes of the lower-cased text, hashed into 2**BITS features.
 SIZES, BITS = (4, 6), 18
 #: Features that are kept, by the size of their ratio and support, and texts of a class that must hold one.
@@ -97,12 +97,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
         share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
         return Model(none, none, float(np.log(share / (1 - share))))
     grams, counts = [[np.frombuffer(x, np.int32) for x in got[c]] for c in ("grams", "counts")]
-    texts, totals = [], []  # for each class: texts with the n-gram, and its occurrences
-    for side in (1, 0):
-        own = [k for k in range(len(y)) if y[k] == side]
-        f = np.concatenate([grams[k] for k in own])
-        texts.append(np.bincount(f, minlength=1 << BITS).astype(float))
-        totals.append(np.bincount(f, np.concatenate([counts[k] for k in own]), minlength=1 << BITS))
+    # For each class, positives first: texts with the n-gram, and its occurrences. A text holds an n-gram once in its list.
+    texts, totals = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
+    for g, c, t in zip(grams, counts, y, strict=True):
+        texts[int(t == 0), g] += 1
+        totals[int(t == 0), g] += c
     n = np.array([y.sum(), len(y) - y.sum()])
     by_text = np.log((texts[0] + ALPHA) / (n[0] + 2 * ALPHA)) - np.log((texts[1] + ALPHA) / (n[1] + 2 * ALPHA))
     by_count = np.log((totals[0] + ALPHA) / (totals[0].sum() + 1)) - np.log((totals[1] + ALPHA) / (totals[1].sum() + 1))
