@@ -492,7 +492,7 @@ def test_words_encode_as_whole_texts_do():
     path = packing.public_tokenizer()
     assert packing.independent_words(path)
     r = random.Random(1)
-    parts = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "\t", "\r", " ", " ", "\x1c", "\x85", "a", "É", "é", "́", "Σ", "ΑΣ", "'s", "'", "12", "-", "<|", "​", "中文", "🙂", "﻿", "DON'T", "ﬁ"]
+    parts = [".", ",", "b.", "B,", "İ", "ǅ", "ª", "#", "#.", "<|endoftext|>", "<|startoftext|>", " ", "\n", "\t", "\r", " ", " ", "\x1c", "\x85", "a", "É", "é", "́", "Σ", "ΑΣ", "'s", "'", "12", "-", "<|", "​", "中文", "🙂", "﻿", "DON'T", "ﬁ"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     whole = [np.array(x.ids, "<u4").tobytes() for x in packing._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     assert packing.Encoder(path).ids(texts) == whole

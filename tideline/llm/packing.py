@@ -41,25 +41,58 @@ class Encoder:
     """Ids of texts as packed uint32, word by word, each different word encoded once.
 
     Only for tokenizers whose tokens never reach over a space or newline (white space dropped, words by themselves), as
-    independent_words finds out; for others each text is encoded whole.
+    independent_words finds out; for others each text is encoded whole. Full stops and commas after a letter, and ASCII
+    capitals, do not make a word a different one: such tokenizers split off the former and drop the latter.
     """
 
     def __init__(self, path: str):
         self.tok, self.known = _tokenizer(path), {"": b""}
         self.by_word = independent_words(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = list({w for s in split for w in s}.difference(self.known))
+        if len(self.known) > REMEMBERED:  # short words come again, long ones hardly do
+            self.known = {k: v for k, v in self.known.items() if len(k) < 6} if len(self.known) < 2 * REMEMBERED else {"": b""}
+        new = {w for s in split for w in s}.difference(self.known)
         if new:
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            parts = []
+            for w in new:
+                base = w.rstrip(".,")
+                if not base or not base[-1].lower().isalpha():
+                    base = w
+                parts.append((w, base.lower() if base.isascii() else base, w[len(base) :]))
+            self._learn(list({k for _, *p in parts for k in p}.difference(self.known)))
+            for w, base, tail in parts:
+                self.known[w] = self.known[base] + self.known[tail] if tail else self.known[base]
         return [b"".join([self.known[w] for w in s]) for s in split]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words; runs of letters many at a time, since the end of each shows in its last token."""
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(some):
+                raw = ids.tobytes()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+            else:
+                rest += some
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it has learnt serves its later tasks."""
+    return Encoder(path)
+
 
 @cache
 def independent_words(path: str) -> bool:
@@ -70,12 +103,13 @@ def independent_words(path: str) -> bool:
     splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
     first = splitters[0] if splitters else {}
     drops = first.get("type") in ("Whitespace", "WhitespaceSplit") or first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern"))
-    return bool(drops) and spec["model"].get("type") == "BPE"
+    lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+    return bool(drops) and lowers and spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
 def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        words = encoder(path)
         for b in batches:
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             row = 0
@@ -85,7 +119,7 @@ def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
                     size += len(texts[end])
                     end += 1
                 out = []
-                for i, ids in enumerate(encoder.ids(texts[row:end]), row):
+                for i, ids in enumerate(words.ids(texts[row:end]), row):
                     ids += bytes(4)
                     pieces = [ids[s : s + 4 * capacity] for s in range(0, len(ids), 4 * capacity)]
                     out += [(i, k, k * capacity, len(p) // 4, zlib.crc32(p), p) for k, p in enumerate(pieces)]
