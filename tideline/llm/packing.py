@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Pieces packed together: enough that each length finds its partners, few enough for one task.
 GROUP = 5_000
 #: Texts tokenised in one call hold about so many characters; ids of so many different words are remembered.
-BATCH_CHARS, REMEMBERED = 1 << 20, 400_000
+BATCH_CHARS, REMEMBERED = 1 << 20, 1_000_000
 
 
 @cache
