@@ -198,6 +198,15 @@ def test_one_of_each_class_stays(docs):
     assert sorted(ids) == sorted({c for c in classes([r.doc_id for r in rows_of(docs)], [r.text for r in rows_of(docs)])})
 
 
+def test_classes_that_share_an_id_or_have_none_each_keep_one(spark):
+    a, b, c, d, e = lines(5, 21, low=40, high=60)
+    near = a + " more"
+    rows = [(None, a), (None, a), (None, near), (None, b), (7, c), (7, c), (7, d), (9, e), (None, e), (None, None), (None, ""), (None, " ")]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = collections.Counter((r.doc_id, "a" if r.text in (a, near) else r.text or "") for r in got)
+    assert left == {(None, "a"): 1, (None, b): 1, (7, c): 1, (7, d): 1, (9, e): 1, (None, ""): 1, (None, " "): 1}
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     e = r.integers(0, 2**63, 60).astype(np.uint64)

@@ -181,7 +181,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, leas
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id) for each row of df(doc_id, text, ...). node is a hash of the text.
+    """(doc_id, node, label, class_id) for each row of df(doc_id, text, ...). node is a hash of the text, label the least node of its class.
 
     class_id is the least doc_id of all documents that links of similarity >= `least` join, equal texts among them.
     Shingles are weighted by how often the text holds them. Texts without a word (null, empty, blank) are equal only to
@@ -231,20 +231,23 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
             labels = components(links)
     classes = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     names = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = written(classes.join(names, "label").select("node", "class_id"), "minhash-classes")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id")
+    named = written(classes.join(names, "label").select("node", "label", "class_id"), "minhash-classes")
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "label", "class_id")
 
 
 def keep_one(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df(doc_id, text, ...) whose document has the least doc_id of its class; one row where several share that id."""
-    found = near_duplicates(df, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "node").agg(F.count("*").alias("times"))
-    chosen = written(found.groupBy("doc_id").agg(F.min("node").alias("__node"), F.sum("times").alias("__times")).withColumnRenamed("doc_id", "__id"), "minhash-kept")
+    """One row of df(doc_id, text, ...) for each class: of least doc_id (null where all are), then of least node; any one of rows that share both."""
+    found = near_duplicates(df, text_col).groupBy("label", "doc_id", "node").agg(F.count("*").alias("times"))
+    # Structs compare field by field, so a null id comes after all others. A node has one label: no two classes choose the same (doc_id, node).
+    first = F.min_by(F.struct("doc_id", "node", "times"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("c")
+    chosen = found.groupBy("label").agg(first).select(F.col("c.doc_id").alias("__id"), F.col("c.node").alias("__node"), F.col("c.times").alias("__times"))
+    chosen = written(chosen, "minhash-kept")
     same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__node") == F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = df.join(small_side(chosen), same).drop("__id", "__node")
+    kept = df.join(small_side(chosen), same).drop("__id")
     if chosen.where("__times > 1").isEmpty():
-        return kept.drop("__times")
-    once = kept.where("__times = 1").drop("__times")
-    return once.unionByName(kept.where("__times > 1").drop("__times").dropDuplicates(["doc_id"]))
+        return kept.drop("__node", "__times")
+    once = kept.where("__times = 1")
+    return once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__node"])).drop("__node", "__times")
 
 
 def report(documents: DataFrame) -> DataFrame:
