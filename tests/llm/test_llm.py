@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import _text, chat, components, decontam, minhash, packing, pii, quality, rules, substring, suffix_dedup, suffixes, toxicity
+from tideline.llm import _text, chat, components, decontam, linear, minhash, packing, pii, quality, rules, substring, suffix_dedup, suffixes, toxicity
 from tideline.shipping import ship
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -505,3 +505,23 @@ def test_words_encode_as_whole_texts_do():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     whole = [np.array(x.ids, "<u4").tobytes() for x in packing._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     assert packing.Encoder(path).ids(texts) == whole
+
+
+def test_every_unlabelled_document_teaches(spark, judged):
+    """Documents beyond the 3,000 whose ids hash lowest, the bound that once held, change what is learnt."""
+    docs, labels = judged
+    more = spark.createDataFrame([(1000 + k, t, "en", "s1") for k, t in enumerate(lines(3300, 14, low=8, high=12))], docs.schema)
+    lowest = more.orderBy(F.xxhash64("doc_id")).limit(3000)
+    one, two = (quality.fit(docs.unionByName(x), labels) for x in (more, lowest))
+    assert abs(one.content - two.content).max() > 1e-3
+
+
+def test_summed_gradients_reach_the_least_loss():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(400, 6)).astype(np.float32), (r.random(400) < 0.4).astype(float)
+    run = linear.descent(np.zeros(7), 40)
+    at = next(run)
+    for _ in range(40):
+        loss, g = quality._loss(x, y, np.full(400, 1 / 400), at)
+        at, best = run.send((loss, g))
+    assert abs(quality._loss(x, y, np.full(400, 1 / 400), best)[1]).max() < 1e-4

@@ -52,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table from written() that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _quiet_drop(df.sparkSession, folder)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that results are about to take the names of."""
     return df.drop(*[n for n in names if n in df.columns])

@@ -1,7 +1,9 @@
-"""Linear classifiers that are fitted on the driver, on bounded samples."""
+"""Linear classifiers that are fitted on the driver, on bounded samples or on sums over tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 import numpy as np
 
 
@@ -42,6 +44,39 @@ def logistic(dot, back, size: int, y: np.ndarray, weight: np.ndarray | None = No
     return w, float(b)
 
 
+def descent(start: np.ndarray, most: int, memory: int = 8) -> Generator:
+    """L-BFGS from `start` as a generator: it yields a point first, is sent the (loss, gradient) of the last point at most `most` times, and yields (next point, best point)."""
+    w = start
+    loss, g = yield w
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(most):
+        d, kept = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            kept.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            d = d * (s @ y) / (y @ y)
+        else:
+            d = d / max(np.linalg.norm(g), 1e-12)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0
+        while True:
+            new = w + step * d
+            new_loss, new_g = yield new, w
+            if new_loss <= loss + 1e-4 * step * (g @ d) or step < 1e-6:
+                break
+            step /= 2
+        if new_loss <= loss:
+            if (new - w) @ (new_g - g) > 1e-12:
+                pairs = [*pairs, (new - w, new_g - g)][-memory:]
+            w, loss, g = new, new_loss, new_g
+    while True:
+        yield w, w
+
+
 def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(a, b) such that sigmoid(a * score + b) is the calibrated chance of y, by Newton's method with a small ridge."""
     spread = float(score.std()) or 1.0

@@ -2,8 +2,10 @@
 
 The content view sees hashed n-grams of the text; the metadata view sees language, source,
 size and the page's layout (lines, character classes), never the n-grams. In each round each
-view labels the unlabelled documents that it is surest of for the other. Both are calibrated
-on labelled rows that neither has seen, and their calibrated log odds are added, weighted.
+view scores all unlabelled documents and labels those that it is surest of for the other.
+The labelled sample is held by the driver; the gradients of all documents with pseudo-labels
+are summed over tasks. Both views are calibrated on labelled rows that neither has seen, and
+their calibrated log odds are added, weighted.
 """
 
 from __future__ import annotations
@@ -18,14 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import without, written
+from ._state import forget, small_side, without, written
 from ._text import chunks
 
-#: Rows that are fitted on at most: labelled ones, and unlabelled ones that may get pseudo-labels.
-LABELLED, UNLABELLED = 3_000, 3_000
-#: Rounds of exchange, and pseudo-labels that a view gives in one, as a share of the unlabelled rows.
+#: Labelled rows that are fitted on at most. Unlabelled ones all take part.
+LABELLED = 3_000
+#: Rounds of exchange, and pseudo-labels of a class that a view gives in one, as a share of the unlabelled rows.
 ROUNDS, SHARE, SURE = 3, 0.08, 0.9
+#: Weight of a pseudo-label, and of all that a view is told at most, as a share of the labelled rows.
+PSEUDO = 0.5
+#: Margins are counted in bins of 1 / BINS to find the cuts.
+BINS = 256
+#: Passes over the documents with pseudo-labels in a round.
+PASSES = 14
 CONTENT, METADATA, GRAM = 2048, 128, 4
+L2 = 1e-4
 ACCEPT_FROM = 0.5
 
 
@@ -96,53 +105,162 @@ class Model:
 
 
 def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    return linear.logistic(lambda w: x @ w.astype(np.float32), lambda e: e.astype(np.float32) @ x, x.shape[1], y, weight, l2=1e-4, steps=150, rate=0.1)
+    return linear.logistic(lambda w: x @ w.astype(np.float32), lambda e: e.astype(np.float32) @ x, x.shape[1], y, weight, l2=L2, steps=150, rate=0.1)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Co-train on at most `labelled` rows of labels(doc_id, <label>) and `unlabelled` other documents(doc_id, lang, source, text).
+def _halved(view: np.ndarray) -> np.ndarray:
+    return view.astype(np.float16).astype(np.float32)
 
-    Both samples take the ids that hash lowest. Null ids and labels are left out; an id with several labels takes the lowest.
+
+#: Weights and intercept of each view, and for each view the margin from which it is sure of 1, and that below which it is sure of 0.
+Round = tuple[list[tuple[np.ndarray, float]], list[tuple[float, float]]]
+
+
+def _told(history: list[Round], views: list[np.ndarray]) -> list[np.ndarray]:
+    """What each view has been told by the other in all rounds: 1, 0, or -1 for nothing."""
+    told = [np.full(len(views[0]), -1, np.int32) for _ in views]
+    for models, cuts in history:
+        for k, (x, (w, b), (high, low)) in enumerate(zip(views, models, cuts, strict=True)):
+            margin = x @ w.astype(np.float32) + b
+            told[1 - k][margin >= high] = 1
+            told[1 - k][margin < low] = 0
+    return told
+
+
+def _each(text_col: str, rows):
+    """Record batches of rows(keys, views) for each chunk of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, source = b.column("lang").to_pylist(), b.column("source").to_pylist()
+            for row, end, data, offsets in chunks(b.column(text_col)):
+                yield rows(b.column("__key").slice(row, end - row), [_halved(_content(data, offsets)), _halved(_metadata(data, offsets, lang[row:end], source[row:end]))])
+
+    return run
+
+
+def _margins(models: list[tuple[np.ndarray, float]]):
+    def rows(keys: pa.Array, views: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, *[pa.array((x @ w.astype(np.float32) + b).astype(float)) for x, (w, b) in zip(views, models, strict=True)]], ["__key", "m0", "m1"])
+
+    return rows
+
+
+def _taught(history: list[Round]):
+    def rows(keys: pa.Array, views: list[np.ndarray]) -> pa.RecordBatch:
+        told = _told(history, views)
+        at = np.flatnonzero((told[0] >= 0) | (told[1] >= 0))
+        packed = [pa.array([v.tobytes() for v in x[at].astype(np.float16)], pa.binary()) for x in views]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(t[at]) for t in told], *packed], ["__key", "told0", "told1", "content", "metadata"])
+
+    return rows
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray, wb: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted logistic loss at wb (weights, then intercept), and its gradient."""
+    margin = x @ wb[:-1].astype(np.float32) + wb[-1]
+    e = weight * (linear.sigmoid(margin) - y)
+    return float((weight * (np.logaddexp(0, margin) - y * margin)).sum()), np.append(e.astype(np.float32) @ x, e.sum())
+
+
+def _sums(at: list[np.ndarray], by_class: list[tuple[float, float]]):
+    """One row a task and view: loss and gradient of its documents with pseudo-labels at `at`; by_class: weights of a 0 and a 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, gradient = [0.0, 0.0], [np.zeros(len(a)) for a in at]
+        for b in batches:
+            for k, c in enumerate(("content", "metadata")):
+                told = b.column(f"told{k}").to_numpy()
+                own = np.flatnonzero(told >= 0)
+                for part in np.array_split(own, len(own) // 2000 + 1):
+                    if len(part):
+                        x = np.frombuffer(b"".join(b.column(c).take(pa.array(part)).to_pylist()), np.float16).reshape(len(part), -1).astype(np.float32)
+                        more, g = _loss(x, told[part], np.array(by_class[k])[told[part]], at[k])
+                        loss[k] += more
+                        gradient[k] += g
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(loss), pa.array([g.tobytes() for g in gradient], pa.binary())], ["view", "loss", "gradient"])
+
+    return run
+
+
+def _cuts(pool: DataFrame) -> tuple[int, list[tuple[float, float]]]:
+    """Number of rows of pool(m0, m1), and for each view the margins beyond which it labels: SHARE of all rows for each class (to a bin), those it is SURE of."""
+    bin_ = lambda m: F.floor(F.greatest(F.least(F.col(m), F.lit(1000.0)), F.lit(-1000.0)) * BINS)
+    both = pool.select(F.explode(F.array(*[F.struct(F.lit(k).alias("view"), bin_(f"m{k}").alias("bin")) for k in (0, 1)])).alias("b"))
+    got = both.groupBy("b.view", "b.bin").agg(F.count("*").alias("n")).toPandas().sort_values("bin")
+    n, sure, cuts = int(got.n[got["view"] == 0].sum()), np.log(SURE / (1 - SURE)), []
+    for k in (0, 1):
+        own = got[got["view"] == k]
+        bins, count, wanted = own.bin.to_numpy(), own.n.to_numpy(), max(1, int(SHARE * n))
+        if len(bins):
+            high = bins[::-1][np.searchsorted(np.cumsum(count[::-1]), wanted)] / BINS
+            low = (bins[np.searchsorted(np.cumsum(count), wanted)] + 1) / BINS
+            cuts.append((max(high, sure), min(low, -sure)))
+    return n, cuts
+
+
+def _refit(taught: DataFrame, models: list[tuple[np.ndarray, float]], views: list[np.ndarray], y: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Both views' models fitted to the labelled rows and all of taught, from where they stand."""
+    counts = {(r["view"], r["told"]): r["n"] for r in taught.select(F.explode(F.array(*[F.struct(F.lit(k).alias("view"), F.col(f"told{k}").alias("told")) for k in (0, 1)])).alias("t")).groupBy("t.view", "t.told").agg(F.count("*").alias("n")).collect()}
+    labelled, by_class = [], []
+    for k in (0, 1):
+        n = [counts.get((k, value), 0) for value in (0, 1)]
+        each = min(PSEUDO, PSEUDO * len(y) / max(sum(n), 1))
+        mass = [(y == value).sum() + each * n[value] for value in (0, 1)]
+        # Classes weigh the same; all weights add up to one.
+        share = [0.5 / max(m, 1e-9) for m in mass]
+        labelled.append(np.where(y == 1, share[1], share[0]))
+        by_class.append((each * share[0], each * share[1]))
+    runs = [linear.descent(np.append(w, b), PASSES) for w, b in models]
+    at = [next(r) for r in runs]
+    best = list(at)
+    for _ in range(PASSES):
+        rows = taught.mapInArrow(_sums(at, by_class), "view int, loss double, gradient binary").collect()
+        for k, run in enumerate(runs):
+            loss, g = _loss(views[k], y, labelled[k], at[k])
+            loss += sum(r["loss"] for r in rows if r["view"] == k) + 0.5 * L2 * float(at[k][:-1] @ at[k][:-1])
+            g = g + sum((np.frombuffer(r["gradient"]) for r in rows if r["view"] == k), np.append(L2 * at[k][:-1], 0.0))
+            at[k], best[k] = run.send((loss, g))
+    return [(b[:-1], float(b[-1])) for b in best]
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", labelled: int = LABELLED) -> Model:
+    """Co-train on at most `labelled` rows of labels(doc_id, <label>), those whose ids hash lowest, and all documents(doc_id, lang, source, text) without a label.
+
+    Null ids and labels are left out of the labelled rows; an id with several labels takes the lowest. Documents with a null id are unlabelled.
     Without labels of both classes every document gets the same score, 1 if any is good.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("__y"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("__id"), "__y")
-    others = documents.select("doc_id").where("doc_id is not null").join(rows.select("doc_id"), "doc_id", "left_anti")
-    others = others.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).select(F.col("doc_id").alias("__id"), F.lit(-1).alias("__y"))
-    sample = written(chosen.unionByName(others), "quality-sample")  # bounded, so it can be broadcast
+    sample = written(chosen, "quality-sample")  # bounded, so it can be broadcast
     held = documents.select("doc_id", "lang", "source", text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__id", "__y", "lang", "source", text_col)
     got = held.mapInArrow(_views(text_col, ["__id", "__y"]), f"__id {documents.schema['doc_id'].dataType.simpleString()}, __y int, content binary, metadata binary").toPandas()
     got = got.sort_values("__id", kind="stable")
     y = got["__y"].to_numpy()
     views = [np.array([np.frombuffer(v, np.float16) for v in got[c]], np.float32).reshape(len(y), k) for c, k in (("content", CONTENT), ("metadata", METADATA))]
-    known = np.flatnonzero(y >= 0)
-    if len(np.unique(y[known])) < 2:
-        flat = 20.0 if not len(known) or y[known].max() > 0 else -20.0
+    if len(np.unique(y)) < 2:
+        flat = 20.0 if not len(y) or y.max() > 0 else -20.0
         return Model(np.zeros(CONTENT, np.float32), flat, np.zeros(METADATA, np.float32), flat, ((1.0, 0.0), (1.0, 0.0)), (1.0, 0.0))
-    held_back = known[np.arange(len(known)) % 4 == 0]
-    train = np.setdiff1d(known, held_back)
+    known = np.arange(len(y))
+    held_back, train = known[known % 4 == 0], known[known % 4 > 0]
     if len(np.unique(y[train])) < 2 or len(np.unique(y[held_back])) < 2:
         held_back = train = known
-    guess = [np.full(len(y), -1), np.full(len(y), -1)]  # what each view has been told by the other
-    free = np.flatnonzero(y < 0)
-    models: list[tuple[np.ndarray, float]] = []
-    for turn in range(ROUNDS + 1):
-        models = []
-        for x, told in zip(views, guess, strict=True):
-            more = free[told[free] >= 0]
-            rows_ = np.concatenate((train, more))
-            target = np.concatenate((y[train], told[more])).astype(float)
-            # Classes weigh the same, pseudo-labels half.
-            weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)) * np.concatenate((np.ones(len(train)), np.full(len(more), 0.5)))
-            models.append(_train(x[rows_], target, weight))
-        if turn == ROUNDS or not len(free):
+    own, mine = [x[train] for x in views], y[train]
+    balanced = np.where(mine == 1, 0.5 / mine.mean(), 0.5 / (1 - mine.mean()))
+    models = [_train(x, mine.astype(float), balanced) for x in own]
+    # Nulls get keys of their own, of no label, so that they don't meet in one task.
+    pool = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string"))).alias("__key"), "lang", "source", text_col)
+    known_ids = small_side(written(rows.select(F.col("doc_id").cast("string").alias("__key")), "quality-known"))
+    free = lambda fn, schema: pool.mapInArrow(_each(text_col, fn), f"__key string, {schema}").join(known_ids, "__key", "left_anti").drop("__key")
+    history: list[Round] = []
+    for _ in range(ROUNDS):
+        n, cuts = _cuts(free(_margins(models), "m0 double, m1 double"))
+        if not n:
             break
-        for k in (0, 1):
-            p = linear.sigmoid(views[k][free] @ models[k][0].astype(np.float32) + models[k][1])
-            n = max(1, int(SHARE * len(free)))
-            for value, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:n]
-                guess[1 - k][free[best[sure[best] >= SURE]]] = value
+        history.append((models, cuts))
+        taught = written(free(_taught(history), "told0 int, told1 int, content binary, metadata binary"), "quality-taught")
+        models = _refit(taught, models, own, mine)
+        forget(taught)
     margins = [v[held_back] @ w.astype(np.float32) + b for v, (w, b) in zip(views, models, strict=True)]
     fits = tuple(linear.platt(m, y[held_back]) for m in margins)
     odds = [np.clip(a * m + b, -8, 8) for m, (a, b) in zip(margins, fits, strict=True)]
