@@ -286,6 +286,20 @@ def test_disclosing_terms(spark):
     assert not any("zanzibar" in r.text or "ann@" in r.text for r in pii.sanitise(rows).collect())
 
 
+def test_disclosing_terms_of_a_shared_signature(spark):
+    """The passage is the same for 80 code points and more on both sides; one name stands further off."""
+    passage = " ".join(["the"] * 30) + " owner Zanzibar mails ann@corp.example " + " ".join(["the"] * 30)
+    texts = [f"Quagga {'the ' * 60}{t} {passage} {t}" for t in lines(6, 22, low=2, high=3)] + [passage] * 3
+    texts += [f"the owner mails {t}" for t in lines(60, 23, low=3, high=9)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(rows).collect()}
+    cut = {k: [texts[k][int(s.split(":")[1]) : int(s.split(":")[2])] for s in v.split(",") if s.startswith("term:")] for k, v in got.items()}
+    assert all("Zanzibar" in cut[k] for k in range(9))
+    assert all("Quagga" in cut[k] for k in range(6))
+    assert not any(w in cut[k] for k in cut for w in ("owner", "mails", "the"))
+    assert not any(cut[k] for k in range(9, len(texts)))
+
+
 # Benchmark text
 
 

@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and terms that the corpus shows to reveal what they protect.
 
-The patterns give the protected entities. A term near an entity discloses it as far as
-seeing the term makes the entity likelier: with document counts over the whole corpus,
+The patterns give the protected entities. A term in a text with an entity discloses it as far
+as seeing the term makes the entity likelier: with document counts over the whole corpus,
 PMI(term; entity) is compared with the entity's own information IC(entity). Terms whose
 ratio reaches `generalise_at` are replaced by a class of words, those that reach
 `remove_at` go. Everything on this path is a DataFrame expression.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._state import small_side, written
@@ -32,8 +32,9 @@ WORD = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """reach: code points on either side of an entity that are its context.
-    support: different contexts in which a term must meet an entity.
+    """support: documents, copies among them, in which a term must meet an entity, anywhere in the text;
+    or as many different contexts, if one document holds them.
+    reach: code points on either side of an entity that are its context.
     generalise_at, remove_at: least PMI(term; entity) / IC(entity).
     term_chars: shortest term."""
 
@@ -87,53 +88,77 @@ def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out
 
 
-def _contexts(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """A row for each base span: entity, text_key, context key, and the terms around it with their places."""
+def _named() -> Column:
+    """Array of all base spans, with their entities."""
     named = lambda k: F.transform(F.col(f"__{k}"), lambda x: F.struct(F.concat(F.lit(f"{k}:"), F.lower(x["value"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end")))
-    spans = F.concat(*[named(k) for k in KINDS])
-    rows = docs.withColumn("__all", spans).where(F.size("__all") > 0).withColumn("__key", F.sha2("__text", 256))
-    rows = rows.select("__key", "__text", F.explode("__all").alias("s")).select("__key", "s.*", F.greatest(F.col("s.start") - rule.reach, F.lit(0)).alias("low"), "__text")
+    return F.concat(*[named(k) for k in KINDS])
+
+
+def _contexts(texts: DataFrame, rule: Disclosure) -> DataFrame:
+    """(entity, term, context) for each term within reach of a base span."""
+    rows = texts.select("__text", F.explode("spans").alias("s")).select("s.*", "__text")
     rows = rows.select(
-        "__key", "entity", "low", "end",
-        F.expr("substring(__text, low + 1, start - low)").alias("before"),
+        "entity",
+        F.expr(f"substring(__text, greatest(start - {rule.reach}, 0) + 1, least(start, {rule.reach}))").alias("before"),
         F.expr(f"substring(__text, end + 1, {rule.reach})").alias("after"),
     )
-    terms = lambda side, at: F.transform(_positions(F.col(side), WORD, lambda v: F.length(v) >= rule.term_chars), lambda x: F.struct(F.lower(x["value"]).alias("term"), (x["start"] + F.col(at)).alias("start"), (x["end"] + F.col(at)).alias("end")))
-    return rows.select("__key", "entity", F.xxhash64("entity", "before", "after").alias("context"), F.concat(terms("before", "low"), terms("after", "end")).alias("terms"))
+    return rows.select("entity", F.xxhash64("entity", "before", "after").alias("context"), F.explode(F.array_union(_terms(F.col("before"), rule), _terms(F.col("after"), rule))).alias("term"))
+
 
+def _terms(text: Column, rule: Disclosure) -> Column:
+    """The different terms of a text, in lower case."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lambda v: F.length(v) >= rule.term_chars)
+    return F.array_distinct(F.transform(found, F.lower))
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, rule: Disclosure) -> DataFrame:
-    """(entity, term, ratio) for the pairs whose PMI / IC reaches generalise_at. docs: with __text. contexts: written.
 
-    Copies of a context count once for support, and as documents for the probabilities.
+def disclosing_terms(docs: DataFrame, texts: DataFrame, rule: Disclosure) -> DataFrame:
+    """(entity, term, ratio) for the pairs whose PMI / IC reaches generalise_at. docs: with __text. texts: the written different texts that hold entities.
+
+    All counts are documents over their whole texts: each text counts as often as it stands in the corpus.
     """
     n = docs.count()
-    met = contexts.select("__key", "entity", "context", F.explode("terms").alias("t")).select("__key", "entity", "context", F.col("t.term").alias("term"))
-    pairs = met.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= rule.support)
+    near = _contexts(texts, rule).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= rule.support)
+    near = written(near.select("entity", "term", F.lit(True).alias("near")), "pii-near")
+    entity = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("df_entity")).where(F.col("df_entity") < n)
+    # An entity in fewer documents meets no term in more.
+    entity = entity.join(small_side(near.select("entity", "near").distinct()), "entity", "left").where((F.col("df_entity") >= rule.support) | F.col("near")).select("entity", "df_entity")
+    entity = written(entity, "pii-entities")
+    met = texts.select("__text", "copies", F.explode("entities").alias("entity")).join(small_side(entity.select("entity")), "entity")
+    joint = met.select("entity", "copies", F.explode(_terms(F.col("__text"), rule)).alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("df_both"))
+    pairs = joint.join(small_side(near), ["entity", "term"], "left").where((F.col("df_both") >= rule.support) | F.col("near")).drop("near")
     pairs = written(pairs, "pii-pairs")
-    terms = written(pairs.select("term").distinct(), "pii-terms")
-    counted = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    df_term = counted.join(small_side(terms), "term").groupBy("term").agg(F.count("*").alias("df_term"))
-    # Joint and entity counts are documents too: each text counts as often as it stands in the corpus.
-    copies = docs.select(F.sha2("__text", 256).alias("__key")).join(small_side(written(contexts.select("__key").distinct(), "pii-keys")), "__key").groupBy("__key").agg(F.count("*").alias("copies"))
-    copies = written(copies, "pii-copies")
-    entity = contexts.select("__key", "entity").distinct().join(small_side(copies), "__key").groupBy("entity").agg(F.sum("copies").alias("df_entity"))
-    joint = met.join(small_side(pairs), ["entity", "term"]).select("__key", "entity", "term").distinct().join(small_side(copies), "__key").groupBy("entity", "term").agg(F.sum("copies").alias("df_both"))
+    # Counted by term before any join, so no row is made for each meeting of a document and a candidate.
+    df_term = docs.select(F.explode(_terms(F.col("__text"), rule)).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     ratio = F.log2(F.col("df_both") * F.lit(float(max(n, 1))) / (F.col("df_term") * F.col("df_entity"))) / -F.log2(F.col("df_entity") / F.lit(float(max(n, 1))))
-    return joint.join(entity, "entity").join(df_term, "term").where(F.col("df_entity") < n).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= rule.generalise_at)
+    return pairs.join(small_side(entity), "entity").join(df_term, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= rule.generalise_at)
+
+
+def _words(texts: DataFrame, rule: Disclosure) -> DataFrame:
+    """(__key, term, start, end) of all terms of texts(__key, __text), by the lengths of what lies before them."""
+    text, pattern = F.col("__text"), F.lit(f"({WORD})")
+    both = F.arrays_zip(F.transform(F.split(text, WORD, -1), F.length).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("value"))
+    rows = texts.select("__key", F.posexplode(both).alias("at", "x")).select("__key", "at", "x.gap", "x.value")
+    upto = Window.partitionBy("__key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(upto).cast("int"))
+    return rows.where(F.length("value") >= rule.term_chars).select("__key", F.lower("value").alias("term"), (F.col("end") - F.length("value")).alias("start"), "end")
 
 
 def find(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
     """df, a column __<kind> of spans for each kind, and __term: spans (start, end, action) of disclosing terms.
 
     Null and empty texts have no spans. Rows of df may repeat; equal texts get equal spans.
-    Terms that overlap a base span are left to it. Columns of df stay as they are.
+    A disclosing term is found wherever it stands in a text with its entity; terms that overlap a base span are left to it.
+    Columns of df stay as they are.
     """
     docs = with_base_spans(df, text_col)
-    contexts = written(_contexts(docs, rule), "pii-contexts")
-    flagged = written(disclosing_terms(docs, contexts, rule), "pii-flagged")
-    met = contexts.select("__key", "entity", F.explode("terms").alias("t")).select("__key", "entity", "t.*")
-    spans = met.join(small_side(flagged), ["entity", "term"]).groupBy("__key", "start", "end").agg(F.max("ratio").alias("ratio"))
+    some = docs.select("__text", _named().alias("spans")).where(F.size("spans") > 0).select(F.sha2("__text", 256).alias("__key"), "__text", "spans")
+    texts = some.groupBy("__key").agg(F.count("*").alias("copies"), F.first("__text").alias("__text"), F.first("spans").alias("spans"))
+    texts = written(texts.withColumn("entities", F.array_distinct(F.col("spans.entity"))), "pii-texts")
+    flagged = written(disclosing_terms(docs, texts, rule), "pii-flagged")
+    own = texts.select("__key", F.explode("entities").alias("entity")).join(small_side(written(flagged.select("entity").distinct(), "pii-disclosed")), "entity")
+    own = written(own, "pii-own")
+    words = _words(texts.join(small_side(own.select("__key").distinct()), "__key", "left_semi"), rule)
+    spans = words.join(small_side(own), "__key").join(small_side(flagged), ["entity", "term"]).groupBy("__key", "start", "end").agg(F.max("ratio").alias("ratio"))
     spans = spans.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("ratio") >= rule.remove_at, "remove").otherwise("generalise").alias("action")))).alias("__term"))
     spans = written(spans, "pii-spans").withColumnRenamed("__key", "__span_key")
     out = docs.join(small_side(spans), F.when(F.size(F.concat(*[f"__{k}" for k in KINDS])) > 0, F.sha2("__text", 256)) == F.col("__span_key"), "left").drop("__span_key")
