@@ -191,6 +191,65 @@ def test_near_duplicates(docs):
     assert collections.Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()) == want
 
 
+def varied(n, seed, base=1, size=60):
+    """Texts of some words each, with from 0 to 12 words of one of the first texts changed: a group in which many pairs are near 0.8."""
+    r = random.Random(seed)
+    bases = lines(base, seed, vocabulary=2000, low=size, high=size)
+    out = []
+    for k in range(n):
+        w = bases[k % base].split(" ")
+        for _ in range(r.randint(0, 12)):
+            w[r.randrange(size)] = f"new{r.randrange(10**6)}" if r.random() < 0.6 else "usual"
+        if r.random() < 0.1:
+            del w[-r.randint(1, 9) :]
+        out.append(" ".join(w))
+    return out
+
+
+def linked(texts, nodes):
+    """The least node of each text's class among texts whose similarity is 0.8 or more."""
+    sets = [{(g, k) for g, c in b.items() for k in range(c)} for b in bags(texts)]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up[top(i)] = top(j)
+    least = {}
+    for k, n in enumerate(nodes):
+        least[top(k)] = min(n, least.get(top(k), n))
+    return [least[top(k)] for k in range(len(nodes))]
+
+
+@pytest.mark.parametrize("ordered", [100_000, 60, 0])
+@pytest.mark.parametrize("base", [1, 3])
+def test_large_buckets_lose_no_link(spark, monkeypatch, base, ordered):
+    """All texts in one bucket, no link known yet: what comes out are all classes, whatever counts are held."""
+    monkeypatch.setattr(minhash, "ORDERED", ordered)
+    texts = sorted(set(varied(500, 31 + base, base) + lines(30, 32, low=20, high=60)))
+    nodes = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    rows = spark.createDataFrame([(1, n) for n in nodes], "bucket long, node long")
+    sets = spark.createDataFrame(list(zip(nodes, texts, strict=True)), "node long, text string").mapInArrow(minhash._element_sets(5), "node bigint, weight bigint, elements binary")
+    links = minhash._large_buckets(rows, sets, spark.createDataFrame([], "a long, b long"), None, 0.8)
+    got = {r.node: r.label for r in components.components(links).collect()}
+    want = linked(texts, nodes)
+    assert len(set(want)) > 40
+    assert [got.get(n, n) for n in nodes] == want
+
+
+def test_group_of_near_copies(spark):
+    """Whole operator on groups of 500 texts, against all pairs: classes are the same."""
+    texts = varied(500, 41, 2) + lines(40, 42)
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    assert [r.class_id for r in sorted(got)] == classes(list(range(len(texts))), texts)
+
+
 def test_one_of_each_class_stays(docs):
     got = minhash.keep_one(docs)
     assert got.columns == docs.columns
