@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontam, minhash, packing, pii, quality
-from tideline.llm._state import written
-from tideline.shipping import ship
+from tideline.llm._state import ready, written
+
+#: Words whose ids a worker remembers in packing: its memory stays with it while the other stages run.
+WORDS = 200_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    ship(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, quality.fit(docs, labels))
     return scored.where("accepted").select(*docs.columns)
@@ -23,7 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the least id."""
-    ship(spark)
+    ready(spark)
     return minhash.keep_one(docs)
 
 
@@ -39,8 +41,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their token ids and places in sequences of 2048 tokens."""
-    ship(spark)
-    pieces = written(packing.tokenised(docs.select("doc_id", "text"), packing.public_tokenizer()), "pipeline-pieces")
+    ready(spark)
+    pieces = written(packing.tokenised(docs.select("doc_id", "text"), packing.public_tokenizer(), remembered=WORDS), "pipeline-pieces")
     return packing.pack(pieces, pieces.count())
 
 

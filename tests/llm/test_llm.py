@@ -332,6 +332,16 @@ def test_personal_data(spark):
     assert pii.sanitise(rows).columns == rows.columns
 
 
+def test_many_matches_in_one_text(spark):
+    """Time grows with the text, not with its square: a text of many thousand addresses takes seconds."""
+    text = " ".join(f"a{k}@b.co é" for k in range(20_000))
+    rows = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.with_base_spans(rows).select("doc_id", "__email").collect()}
+    assert [(x.start, x.end) for x in found[1]["__email"]] == [m.span() for m in re.finditer(PATTERNS["email"], text)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows).collect()}
+    assert clean == {1: re.sub(PATTERNS["email"], "[EMAIL]", text), 2: "none", 3: None}
+
+
 def test_disclosing_terms(spark):
     texts = [f"{a} owner zanzibar mails ann@corp.example {b}" for a, b in zip(lines(6, 7, low=3, high=6), lines(6, 8, low=3, high=6), strict=True)]
     texts += [f"the owner of {t}" for t in lines(60, 9, low=3, high=9)]

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Most rows of a written table that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 #: And most bytes, as the optimiser knows them from the files.
@@ -17,6 +19,18 @@ BROADCAST_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of a batch that goes to Python, unless the session says otherwise: each task holds a few batches of whole texts.
+BATCH_ROWS = 500
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Send this package to the executors, and keep batches of texts small where the session has Spark's default."""
+    ship(spark)
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="tideline-")

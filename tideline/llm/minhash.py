@@ -359,8 +359,13 @@ def _large_buckets(rows: DataFrame, sets: DataFrame, links: DataFrame, labels: D
         excess = F.col("apart") - F.col("weight") * lacks
         nearest = far.groupBy("group").agg(F.min(F.struct(excess.alias("excess"), F.col("node").alias("next"))).alias("m")).select("group", "m.*")
         star = far.join(nearest, "group").where((excess + F.col("excess") <= 1e-6) & (F.col("node") != F.col("next"))).select(F.col("node").alias("a"), F.col("next").alias("b"))
-        links = links.unionByName(written(_linked(written(star, "minhash-pairs"), sets, least), "minhash-links"))
-        known = written(_labelled(members.select("group", "node"), components(links)), "minhash-known")
+        near = written(_linked(written(star, "minhash-pairs"), sets, least), "minhash-links")
+        links = links.unionByName(near)
+        # Those next to the core get its label; others of their classes keep theirs, which costs comparisons only.
+        ends = near.select(F.col("a").alias("node"), F.col("b").alias("label")).union(near.select("b", "b")).distinct()
+        ends = ends.select("node", F.col("label").alias("end"))
+        known = members.select("group", "node", "label").join(ends, "node", "left").select("group", "node", F.coalesce("end", "label").alias("label"))
+        known = written(known, "minhash-known")
         split = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
         members = members.drop("group", "label").join(known.join(split, "group", "left_semi"), "node")
     front = written(members.mapInArrow(_prefixes(common, least), "element bigint, at bigint, group bigint, node bigint, label bigint, weight bigint, apart bigint"), "minhash-fronts")
@@ -412,15 +417,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
 
     first = written(rows.groupBy("node").agg(F.min("head").alias("head")).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "minhash-pairs")
     links = written(_linked(first, sets, least), "minhash-links")
-    labels = components(links)
-    few = written(_labelled(rows.where(F.col("n") <= SMALL).select("bucket", "node", "weight"), labels), "minhash-few")
+    # Each node has one link at most yet: its end is a label that only nodes of one class have.
+    hop = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    few = written(_labelled(rows.where(F.col("n") <= SMALL).select("bucket", "node", "weight"), hop), "minhash-few")
     other = few.select("bucket", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("label").alias("other_label"))
     alike = F.least("weight", "other_weight") >= F.greatest("weight", "other_weight") * least - 1e-6
     pairs = few.join(other, "bucket").where((F.col("label") != F.col("other_label")) & (F.col("node") > F.col("other")) & alike)
     pairs = written(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "minhash-pairs")
     if not pairs.isEmpty():
         links = links.unionByName(written(_linked(pairs, sets, least), "minhash-links"))
-        labels = components(links)
+    labels = components(links)
     more = _large_buckets(rows.where(F.col("n") > SMALL).select("bucket", "node"), sets, links, labels, least)
     if more is not None:
         labels = components(more)

@@ -46,6 +46,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.most = REMEMBERED
         self.tok, self.known = _tokenizer(path), {"": b""}
         self.by_word = independent_words(path)
         vocab = self.tok.get_vocab()
@@ -56,8 +57,9 @@ class Encoder:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:  # short words come again, long ones hardly do
-            self.known = {k: v for k, v in self.known.items() if len(k) < 6} if len(self.known) < 2 * REMEMBERED else {"": b""}
+        if len(self.known) > self.most:  # short words come again, long ones hardly do
+            short = {k: v for k, v in self.known.items() if len(k) < 6}
+            self.known = short if 2 * len(short) < self.most else {"": b""}
         new = {w for s in split for w in s}.difference(self.known)
         if new:
             parts = []
@@ -107,9 +109,10 @@ def independent_words(path: str) -> bool:
     return bool(drops) and lowers and spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
-def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
+def _pieces(path: str, capacity: int, text_col: str, columns: list[str], remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
+        words.most = remembered
         for b in batches:
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             row = 0
@@ -131,15 +134,16 @@ def _pieces(path: str, capacity: int, text_col: str, columns: list[str]):
     return run
 
 
-def tokenised(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def tokenised(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """A row for each piece of each document: its other columns, piece, start, length, ids_crc32 and (keep_ids) ids, packed as uint32.
 
     A document is its token ids and an id 0 after them; null is an empty text. Only longer ones are cut, into full pieces and a rest.
+    A worker remembers the ids of about `remembered` words (some 200 bytes each) as long as it lives; fewer take more time.
     """
     df = without(df, "piece", "start", "length", "ids_crc32", "ids")
     columns = [c for c in df.columns if c != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns) + ", piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
-    out = df.mapInArrow(_pieces(tokenizer, capacity, text_col, columns), schema)
+    out = df.mapInArrow(_pieces(tokenizer, capacity, text_col, columns, remembered), schema)
     return out if keep_ids else out.drop("ids")
 
 

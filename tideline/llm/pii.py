@@ -28,6 +28,9 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 KINDS = tuple(PATTERNS)
 WORD = r"[\p{L}\p{N}]+"
+SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Items of an array that are folded at once.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -45,17 +48,49 @@ class Disclosure:
     term_chars: int = 3
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in parts of BLOCK items."""
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _folded(items: Column, out: str, step) -> Column:
+    """(at, out) after all items, from at 0 and an empty array of type `out`; step(at, item) gives the new at and what one item adds to out.
+
+    By blocks: an array grows by copying, so one fold over many thousand items would copy them as often.
+    """
+    empty = F.expr(f"cast(array() as {out})")
+
+    def fold(every: Column) -> Column:
+        return F.aggregate(_blocks(every), F.struct(F.lit(0).alias("at"), empty.alias("out")), block)
+
+    def block(a: Column, b: Column) -> Column:
+        def item(x: Column, y: Column) -> Column:
+            at, more = step(x["at"], y)
+            return F.struct(at.cast("int").alias("at"), F.concat(x["out"], more).alias("out"))
+
+        one = F.aggregate(b, F.struct(a["at"].alias("at"), empty.alias("out")), item)
+        return _once(one, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
+
+    return _once(items, fold)
+
+
 def _positions(text: Column, pattern: str, keep) -> Column:
     """Array of (start, end, value) of the pattern's matches, by the lengths of what lies between them."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
     both = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("value"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("end"), x["value"].alias("value")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
-    return F.filter(F.aggregate(both, zero, step, lambda a: a["out"]), lambda x: x["value"].isNotNull() & keep(x["value"]))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
+        return end, F.array(F.struct((at + x["gap"]).alias("start"), end.alias("end"), x["value"].alias("value")))
+
+    return F.filter(_folded(both, SPAN, step)["out"], lambda x: x["value"].isNotNull() & keep(x["value"]))
 
 
 def _luhn(value: Column) -> Column:
@@ -77,9 +112,6 @@ KEEP = {
     "card": lambda v: F.when(_digits(v).between(16, 19), _luhn(v)).otherwise(False),
     "phone": lambda v: _digits(v).between(8, 15),
 }
-SPAN = "array<struct<start:int,end:int,value:string>>"
-
-
 def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df and a column __<kind> for each kind: array of (start, end, value), code points, end exclusive. Null text: empty."""
     out = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
@@ -96,12 +128,15 @@ def _named() -> Column:
 
 def _contexts(texts: DataFrame, rule: Disclosure) -> DataFrame:
     """(entity, term, context) for each term within reach of a base span."""
-    rows = texts.select("__text", F.explode("spans").alias("s")).select("s.*", "__text")
-    rows = rows.select(
-        "entity",
-        F.expr(f"substring(__text, greatest(start - {rule.reach}, 0) + 1, least(start, {rule.reach}))").alias("before"),
-        F.expr(f"substring(__text, end + 1, {rule.reach})").alias("after"),
-    )
+
+    def near(b: Column) -> Column:
+        first = F.greatest(F.array_min(F.transform(b, lambda x: x["start"])) - rule.reach, F.lit(0))
+        held = F.substring(F.col("__text"), first + 1, F.array_max(F.transform(b, lambda x: x["end"])) + rule.reach - first)
+        before = lambda h, x: F.substring(h, F.greatest(x["start"] - rule.reach, F.lit(0)) - first + 1, F.least(x["start"], F.lit(rule.reach)))
+        after = lambda h, x: F.substring(h, x["end"] - first + 1, F.lit(rule.reach))
+        return _once(held, lambda h: F.transform(b, lambda x: F.struct(x["entity"].alias("entity"), before(h, x).alias("before"), after(h, x).alias("after"))))
+
+    rows = texts.select(F.explode(F.flatten(F.transform(_blocks(F.col("spans")), near))).alias("c")).select("c.*")
     return rows.select("entity", F.xxhash64("entity", "before", "after").alias("context"), F.explode(F.array_union(_terms(F.col("before"), rule), _terms(F.col("after"), rule))).alias("term"))
 
 
@@ -134,17 +169,18 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, rule: Disclosure) -> Dat
 
 
 def _words(texts: DataFrame, rule: Disclosure) -> DataFrame:
-    """(__key, term, start, end) of all terms of texts(__key, __text), by the lengths of what lies before them."""
+    """(__key, term, class, start, end) of all terms of texts(__key, __text), by the lengths of what lies before them."""
     text, pattern = F.col("__text"), F.lit(f"({WORD})")
     both = F.arrays_zip(F.transform(F.split(text, WORD, -1), F.length).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("value"))
     rows = texts.select("__key", F.posexplode(both).alias("at", "x")).select("__key", "at", "x.gap", "x.value")
     upto = Window.partitionBy("__key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(upto).cast("int"))
-    return rows.where(F.length("value") >= rule.term_chars).select("__key", F.lower("value").alias("term"), (F.col("end") - F.length("value")).alias("start"), "end")
+    of = F.when(F.col("value").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    return rows.where(F.length("value") >= rule.term_chars).select("__key", F.lower("value").alias("term"), of.alias("class"), (F.col("end") - F.length("value")).alias("start"), "end")
 
 
 def find(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
-    """df, a column __<kind> of spans for each kind, and __term: spans (start, end, action) of disclosing terms.
+    """df, a column __<kind> of spans for each kind, and __term: spans (start, end, action, class) of disclosing terms.
 
     Null and empty texts have no spans. Rows of df may repeat; equal texts get equal spans.
     A disclosing term is found wherever it stands in a text with its entity; terms that overlap a base span are left to it.
@@ -158,13 +194,13 @@ def find(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure())
     own = texts.select("__key", F.explode("entities").alias("entity")).join(small_side(written(flagged.select("entity").distinct(), "pii-disclosed")), "entity")
     own = written(own, "pii-own")
     words = _words(texts.join(small_side(own.select("__key").distinct()), "__key", "left_semi"), rule)
-    spans = words.join(small_side(own), "__key").join(small_side(flagged), ["entity", "term"]).groupBy("__key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    spans = spans.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("ratio") >= rule.remove_at, "remove").otherwise("generalise").alias("action")))).alias("__term"))
+    spans = words.join(small_side(own), "__key").join(small_side(flagged), ["entity", "term"]).groupBy("__key", "start", "end", "class").agg(F.max("ratio").alias("ratio"))
+    spans = spans.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("ratio") >= rule.remove_at, "remove").otherwise("generalise").alias("action"), "class"))).alias("__term"))
     spans = written(spans, "pii-spans").withColumnRenamed("__key", "__span_key")
     out = docs.join(small_side(spans), F.when(F.size(F.concat(*[f"__{k}" for k in KINDS])) > 0, F.sha2("__text", 256)) == F.col("__span_key"), "left").drop("__span_key")
     base = F.concat(*[F.col(f"__{k}") for k in KINDS])
     clear = F.filter(F.col("__term"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("__term", F.coalesce(clear, F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")))
+    return out.withColumn("__term", F.coalesce(clear, F.expr("cast(array() as array<struct<start:int,end:int,action:string,class:string>>)")))
 
 
 def sanitise(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
@@ -175,15 +211,20 @@ def sanitise(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosur
     found = find(df, text_col, rule)
     masked = lambda k: F.transform(F.col(f"__{k}"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put")))
     base = F.concat(*[masked(k) for k in KINDS])
-    value = lambda t: F.substring(F.col("__text"), t["start"] + 1, t["end"] - t["start"])
-    terms = F.transform(F.col("__term"), lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("less"), t["end"].alias("end"), F.when(t["action"] == "remove", "").when(value(t).rlike("^[0-9]+$"), "[NUMBER]").when(value(t).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]").alias("put")))
+    terms = F.transform(F.col("__term"), lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("less"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise(t["class"]).alias("put")))
     spans = F.array_sort(F.concat(base, terms))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.concat(a["out"], F.when(x["start"] >= a["at"], F.array(F.substring(F.col("__text"), a["at"] + 1, x["start"] - a["at"]), x["put"])).otherwise(F.expr("cast(array() as array<string>)"))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
+    piece = "array<struct<start:int,end:int,put:string>>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        kept = F.array(F.struct(at.alias("start"), x["start"].alias("end"), x["put"].alias("put")))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, kept).otherwise(F.expr(f"cast(array() as {piece})"))
+
+    def put(b: Column) -> Column:
+        first = b[0]["start"]
+        held = F.substring(F.col("__text"), first + 1, F.element_at(b, -1)["end"] - first)
+        return _once(held, lambda h: F.array_join(F.transform(b, lambda p: F.concat(F.substring(h, p["start"] - first + 1, p["end"] - p["start"]), p["put"])), ""))
+
+    clean = _once(_folded(spans, piece, step), lambda a: F.concat(F.array_join(F.transform(_once(a["out"], _blocks), put), ""), F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
     out = found.withColumn("__clean", F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col)))
     return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in df.columns])
 

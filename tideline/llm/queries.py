@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
 from . import chat, decontam, minhash, packing, pii, quality, rules, substring, suffix_dedup, toxicity
+from ._state import ready
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
