@@ -64,7 +64,7 @@ def test_http_class(spark, status, want):
 
 
 def test_names_and_codes(spark):
-    names = {"a": True, "a.b-c_1": True, "A": False, "": False, "-a": False, "a" * 128: True, "a" * 129: False}
+    names = {"a": True, "a.b-c_1": True, "A": False, "": False, "-a": False, "a" * 128: True, "a" * 129: False, "a\n": False, "a\nb": False}
     got = spark.createDataFrame([(n,) for n in names], "name string").select("name", d.valid_name(F.col("name")).alias("ok")).collect()
     assert {r.name: r.ok for r in got} == names
     codes = {"lease.expired": "lease_expired", "  ": "maintenance_failed", "x" * 200: "x" * 128, "é-1": "é-1"}
@@ -84,8 +84,17 @@ def test_seconds_between_rounds_down(spark):
 
 def test_schedule(spark):
     rows = spark.createDataFrame([(1, None), (2, -5), (3, 10), (4, 86_400), (5, 86_401)], "id int, s int").withColumn("requested_at", plus_seconds(at(NOW), F.col("s")))
-    got = {r.id: r.schedule for r in queues.schedule_resolve(rows, NOW, 86_400).collect()}
-    assert got == {1: "immediate", 2: "immediate", 3: "delayed", 4: "delayed", 5: "rejected"}
+    resolved = queues.schedule_resolve(rows, NOW, 86_400).join(rows.select("id", "s"), "id").collect()
+    assert {r.id: r.schedule for r in resolved} == {1: "immediate", 2: "immediate", 3: "delayed", 4: "delayed", 5: "rejected"}
+    now = {r.id: r.available_at for r in resolved}
+    assert {k: None if v is None else (v - now[1]).total_seconds() for k, v in now.items()} == {1: 0, 2: -5, 3: 10, 4: 86_400, 5: None}
+
+
+def test_queue_without_tasks_has_zeros(spark):
+    rows = spark.createDataFrame([(1, "busy"), (2, "idle")], "queue_id long, name string")
+    tasks = spark.createDataFrame([(7, 1, 2)], "task_id long, queue_id long, state_code int").withColumn("available_at", plus_seconds(at(NOW), F.lit(-9)))
+    got = {r.name: tuple(r)[2:] for r in queues.queue_stats(rows, tasks, NOW).collect()}
+    assert got == {"busy": (0, 1, 0, 7, 9), "idle": (0, 0, 0, None, None)}
 
 
 def test_registry_extension_is_clamped(spark):

@@ -97,7 +97,7 @@ def retention_expired(created: Column, days: int, now: Column) -> Column:
 
 
 def valid_name(name: Column) -> Column:
-    return F.length(name).between(1, 128) & name.rlike("^[a-z0-9][a-z0-9._-]*$")
+    return F.length(name).between(1, 128) & name.rlike(r"\A[a-z0-9][a-z0-9._-]*\z")
 
 
 def bounded_code(code: Column, most: int = 128) -> Column:

@@ -85,12 +85,13 @@ def drain_progress(queues: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def queue_stats(queues: DataFrame, tasks: DataFrame, now: str) -> DataFrame:
-    """Depths, and the ready task that has waited longest with its age."""
+    """Depths (0 for a queue without tasks), and the ready task that has waited longest with its age."""
     depth = queue_depth(tasks)
     oldest = tasks.where(F.col("state_code") == d.READY).groupBy("queue_id").agg(F.min(F.struct("available_at", "task_id")).alias("o"))
-    rows = queues.join(depth, "queue_id").join(oldest, "queue_id", "left")
+    rows = queues.join(depth, "queue_id", "left").join(oldest, "queue_id", "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("delayed", "ready", "leased")]
     age = F.greatest(F.lit(0), seconds_between(F.col("o.available_at"), at(now)))
-    return rows.select("queue_id", "name", "delayed", "ready", "leased", F.col("o.task_id").alias("oldest_ready_id"), F.when(F.col("o").isNotNull(), age).alias("oldest_ready_age"))
+    return rows.select("queue_id", "name", *counts, F.col("o.task_id").alias("oldest_ready_id"), F.when(F.col("o").isNotNull(), age).alias("oldest_ready_age"))
 
 
 def stats_snapshot(queues: DataFrame, tasks: DataFrame, now: str, most_seconds: int) -> DataFrame:
@@ -128,11 +129,11 @@ def registry_extend(registry: DataFrame, seconds: int) -> DataFrame:
 
 
 def schedule_resolve(rows: DataFrame, now: str, horizon: int) -> DataFrame:
-    """rows(id, requested_at): when and in which state a task starts, or that it lies too far ahead."""
+    """rows(id, requested_at): when and in which state a task starts, or that it lies too far ahead. Past times stay; null is now."""
     when = F.coalesce("requested_at", at(now))
     far = when > plus_seconds(at(now), horizon)
     label = F.when(far, "rejected").when(when > at(now), "delayed").otherwise("immediate")
-    return rows.select("id", F.when(~far, F.greatest(when, at(now))).alias("available_at"), label.alias("schedule"))
+    return rows.select("id", F.when(~far, when).alias("available_at"), label.alias("schedule"))
 
 
 def heartbeat_interval(policies: DataFrame) -> DataFrame:

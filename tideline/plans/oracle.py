@@ -104,13 +104,13 @@ FROM fx_submissions s JOIN (SELECT producer_id, queue_name, idem_key, arg_min(su
   SELECT *, row_number() OVER (PARTITION BY producer_id, queue_name, idem_key ORDER BY submitted_at, submission_id) AS r FROM fx_submissions) x WHERE r = 1""",
     "depth_admission": f"""WITH dd AS (SELECT q.queue_id, CAST(coalesce(delayed + ready + leased, 0) AS BIGINT) AS depth FROM fx_queues q LEFT JOIN ({DEPTH}) d ON d.queue_id = q.queue_id), i AS (SELECT CAST(count(*) AS BIGINT) AS instance_depth FROM fx_tasks WHERE state_code <= 3)
 SELECT queue_id, depth, instance_depth, CASE WHEN depth + 1 > 400 THEN 'queue' WHEN instance_depth + 1 > 10000 THEN 'instance' END AS reject_scope FROM dd CROSS JOIN i""",
-    "schedule_resolve": f"""SELECT event_id AS id, CASE WHEN available_at > {E} + INTERVAL 86400 SECOND THEN NULL ELSE greatest(available_at, {E}) END AS available_at,
+    "schedule_resolve": f"""SELECT event_id AS id, CASE WHEN available_at > {E} + INTERVAL 86400 SECOND THEN NULL ELSE coalesce(available_at, {E}) END AS available_at,
   CASE WHEN available_at > {E} + INTERVAL 86400 SECOND THEN 'rejected' WHEN available_at > {E} THEN 'delayed' ELSE 'immediate' END AS schedule FROM fx_delivery""",
     "queue_depth": DEPTH,
     "instance_depth": "SELECT count(*) AS depth FROM fx_tasks WHERE state_code <= 3",
     "drain_progress": f"SELECT q.queue_id, q.name, CAST(coalesce(delayed + ready + leased, 0) AS BIGINT) AS remaining, state_code = 3 AS draining, state_code = 3 AND coalesce(delayed + ready + leased, 0) = 0 AS complete FROM fx_queues q LEFT JOIN ({DEPTH}) d ON d.queue_id = q.queue_id",
-    "queue_stats": f"""SELECT q.queue_id, q.name, d.delayed, d.ready, d.leased, o.task_id AS oldest_ready_id, CAST(greatest(0, {SEC.format(a="o.available_at", b=N)}) AS BIGINT) AS oldest_ready_age
-FROM fx_queues q JOIN ({DEPTH}) d ON d.queue_id = q.queue_id LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY available_at, task_id) AS r FROM fx_tasks WHERE state_code = 2) o ON o.queue_id = q.queue_id AND o.r = 1""".replace("CAST(greatest(0,", "CASE WHEN o.task_id IS NOT NULL THEN CAST(greatest(0,").replace("AS oldest_ready_age", "END AS oldest_ready_age"),
+    "queue_stats": f"""SELECT q.queue_id, q.name, coalesce(d.delayed, 0) AS delayed, coalesce(d.ready, 0) AS ready, coalesce(d.leased, 0) AS leased, o.task_id AS oldest_ready_id, CAST(greatest(0, {SEC.format(a="o.available_at", b=N)}) AS BIGINT) AS oldest_ready_age
+FROM fx_queues q LEFT JOIN ({DEPTH}) d ON d.queue_id = q.queue_id LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY available_at, task_id) AS r FROM fx_tasks WHERE state_code = 2) o ON o.queue_id = q.queue_id AND o.r = 1""".replace("CAST(greatest(0,", "CASE WHEN o.task_id IS NOT NULL THEN CAST(greatest(0,").replace("AS oldest_ready_age", "END AS oldest_ready_age"),
     "stats_snapshot": f"""WITH s AS (SELECT q.queue_id, max(t.created_at) AS as_of FROM fx_queues q LEFT JOIN fx_tasks t ON t.queue_id = q.queue_id AND t.created_at <= {N} GROUP BY q.queue_id),
 f AS (SELECT *, CASE WHEN as_of IS NULL THEN 'unavailable' WHEN {SEC.format(a="as_of", b=N)} BETWEEN 0 AND 21600 THEN 'fresh' ELSE 'stale' END AS freshness FROM s)
 SELECT queue_id, as_of, freshness, (SELECT min(as_of) FROM f) AS snapshot_as_of, (SELECT max(freshness) FROM f) AS snapshot_freshness FROM f""",
@@ -174,7 +174,7 @@ FROM (SELECT *, CASE WHEN pool_saturation >= 0.9 THEN 2 WHEN pool_saturation >=
     "content_hash": "SELECT sha256(text) AS fingerprint, min(doc_id) AS first_doc_id, count(*) AS copies, substr(sha256(text), 1, 16) AS reference FROM documents GROUP BY sha256(text)",
     "redact_diag": "SELECT event_id, CASE WHEN length(event_type) > 5 THEN substr(event_type, 1, 5) || '...' ELSE event_type END AS event_type, value, '[REDACTED]' AS props FROM events",
     "event_valid": "SELECT page_id AS id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:[^\\s]+$') AS source_ok, length(split_part(url, ':', 1)) > 0 AS type_ok FROM pages",
-    "name_valid": """SELECT source, name, length(name) BETWEEN 1 AND 128 AND regexp_matches(name, '^[a-z0-9][a-z0-9._-]*$') AS valid, length(name) BETWEEN 1 AND 128 AND regexp_matches(lower(name), '^[a-z0-9][a-z0-9._-]*$') AS lower_valid
+    "name_valid": """SELECT source, name, length(name) BETWEEN 1 AND 128 AND regexp_matches(name, '\\A[a-z0-9][a-z0-9._-]*\\z') AS valid, length(name) BETWEEN 1 AND 128 AND regexp_matches(lower(name), '\\A[a-z0-9][a-z0-9._-]*\\z') AS lower_valid
 FROM (SELECT 'nation' AS source, n_name AS name FROM nation UNION ALL SELECT 'customer', c_name FROM customer) x""",
     "bound_code": "SELECT task_id, CASE WHEN regexp_replace(trim(failure_code), '[^A-Za-z0-9_-]', '_', 'g') = '' THEN 'maintenance_failed' ELSE substr(regexp_replace(trim(failure_code), '[^A-Za-z0-9_-]', '_', 'g'), 1, 128) END AS code FROM fx_tasks WHERE failure_code IS NOT NULL",
     "inv_report": """SELECT 'claim_fields' AS invariant, count(*) FILTER (WHERE (claimed_at IS NULL) <> (lease_expires_at IS NULL) OR (claimed_at IS NULL) <> (worker_id IS NULL)) AS violations FROM fx_tasks
