@@ -103,6 +103,15 @@ def test_registry_extension_is_clamped(spark):
     assert got == {1: (30, True), 2: (105, True), 3: (365, False)}
 
 
+def test_headroom_starts_today(spark):
+    runs = {"a": [0, 1, 2], "b": [0, 1, 3], "c": [1, 2], "d": [-2, -1], "e": [0, *range(1, 41), 45], "f": [0]}
+    rows = spark.createDataFrame([(p, k) for p, ks in runs.items() for k in [*ks, ks[0]]], "parent string, k int").select("parent", F.date_add(F.to_date(F.lit(NOW[:10])), F.col("k")).alias("day"))
+    got = {r.parent: (r.through is None, r.remaining, r.interior_gap, r.worst) for r in upkeep.partition_headroom(rows, NOW[:10]).collect()}
+    assert got == {"a": (False, 2, False, False), "b": (False, 1, True, True), "c": (True, -1, True, False), "d": (True, -1, False, False), "e": (False, 40, False, False), "f": (False, 0, False, False)}
+    got = {r.parent: r.worst for r in upkeep.partition_headroom(rows.where("parent in ('a', 'd', 'f')"), NOW[:10]).collect()}
+    assert got == {"a": False, "d": True, "f": False}
+
+
 def test_headroom_alerts(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 3), ("c", 4)], "parent string, remaining int")
     got = {(r.parent, r.kind) for r in upkeep.retention_alerts(rows, 1, False).collect()}

@@ -29,18 +29,22 @@ def missing_partitions(present: DataFrame, parents: DataFrame, first: str, days:
     return need.join(present, ["parent", "day"], "left_anti")
 
 
-def partition_headroom(present: DataFrame, today: str) -> DataFrame:
-    """For each parent how far its days run on from the first at or after `today`, whether a gap follows, and which parent is worst."""
-    w = Window.partitionBy("parent").orderBy("day")
-    days = present.where(F.col("day") >= F.to_date(F.lit(today))).distinct().withColumn("island", F.date_sub("day", F.row_number().over(w)))
-    days = days.withColumn("first_island", F.first("island").over(w)).withColumn("first_day", F.first("day").over(w))
-    got = days.groupBy("parent").agg(
-        F.max(F.when(F.col("island") == F.col("first_island"), F.col("day"))).alias("through"), F.first("first_day").alias("from_day"),
-        F.bool_or(F.col("island") != F.col("first_island")).alias("interior_gap"),
-    )
-    got = got.withColumn("remaining", F.date_diff("through", "from_day"))
-    worst = got.agg(F.min(F.struct("remaining", "parent")).alias("w")).select(F.col("w.parent").alias("worst_parent"))
-    return got.join(F.broadcast(worst)).select("parent", "from_day", "through", "remaining", "interior_gap", (F.col("parent") == F.col("worst_parent")).alias("worst"))
+def partition_headroom(present: DataFrame, today: str, horizon: int = 30) -> DataFrame:
+    """For each parent of present(parent, day) how far its days run on from `today`, whether a gap follows, and which parent is worst.
+
+    Without a partition of today, through is null and remaining -1. A gap begins within the horizon and has a day after it.
+    The worst parent is one with a gap, else the one with the least days left; of several, the first by name.
+    """
+    now, day = F.to_date(F.lit(today)), F.col("day")
+    ahead = F.count(F.when(day >= now, 1)).over(Window.partitionBy("parent").orderBy("day"))
+    days = present.select("parent", "day").distinct().withColumn("ahead", ahead)
+    # Days from today on that are as many as they lie apart form the first run.
+    got = days.groupBy("parent").agg(F.max(F.when((day >= now) & (F.date_diff(day, now) == F.col("ahead") - 1), day)).alias("through"), F.max("day").alias("last"))
+    missing = F.coalesce(F.date_add("through", 1), now)
+    got = got.withColumn("interior_gap", (F.col("last") > missing) & (missing <= F.date_add(now, horizon))).withColumn("remaining", F.coalesce(F.date_diff("through", now), F.lit(-1)))
+    least = F.struct(~F.col("interior_gap"), F.when(F.col("interior_gap"), 0).otherwise(F.col("remaining")), "parent")
+    worst = got.agg(F.min_by("parent", least).alias("worst_parent"))
+    return got.join(F.broadcast(worst)).select("parent", "through", "remaining", "interior_gap", (F.col("parent") == F.col("worst_parent")).alias("worst"))
 
 
 def partition_names(days: DataFrame, parent: str) -> DataFrame:

@@ -38,12 +38,12 @@ FROM (SELECT *, completed < CASE WHEN enabled THEN max_attempts ELSE 1 END AND N
 
 DEPTH = "SELECT queue_id, count(*) FILTER (WHERE state_code = 1) AS delayed, count(*) FILTER (WHERE state_code = 2) AS ready, count(*) FILTER (WHERE state_code = 3) AS leased FROM fx_tasks WHERE state_code <= 3 GROUP BY queue_id"
 PARENTS = "SELECT DISTINCT worker_id AS parent, CAST(claimed_at AS DATE) AS day FROM fx_attempts WHERE worker_id IN ('w0', 'w1', 'w2', 'w3')"
-HEADROOM = f"""SELECT parent, from_day, through, remaining, interior_gap, parent = first_value(parent) OVER (ORDER BY remaining, parent) AS worst FROM (
-  SELECT parent, min(day) AS from_day, max(day) FILTER (WHERE island = island0) AS through,
-         CAST(max(day) FILTER (WHERE island = island0) - min(day) AS INT) AS remaining, bool_or(island <> island0) AS interior_gap
-  FROM (SELECT *, first_value(island) OVER (PARTITION BY parent ORDER BY day) AS island0
-        FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY parent ORDER BY day) AS INT) AS island FROM ({PARENTS}) p WHERE day >= DATE '1998-09-02') i) j
-  GROUP BY parent) k"""
+HEADROOM = f"""WITH p AS ({PARENTS}),
+  m AS (SELECT q.parent, min(g.d) AS missing FROM (SELECT DISTINCT parent FROM p) q CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-09-02', DATE '2008-09-02', INTERVAL 1 DAY)) AS DATE) AS d) g
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.parent = q.parent AND p.day = g.d) GROUP BY q.parent),
+  r AS (SELECT parent, CASE WHEN missing > DATE '1998-09-02' THEN missing - 1 END AS through, CAST(missing - DATE '1998-09-02' - 1 AS INT) AS remaining,
+        missing <= DATE '1998-09-02' + 30 AND EXISTS (SELECT 1 FROM p WHERE p.parent = m.parent AND p.day > m.missing) AS interior_gap FROM m)
+SELECT parent, through, remaining, interior_gap, parent = first_value(parent) OVER (ORDER BY NOT interior_gap, CASE WHEN interior_gap THEN 0 ELSE remaining END, parent) AS worst FROM r"""
 P99 = "(SELECT CAST(quantile_disc(latency_ns, 0.99) AS BIGINT) FROM fx_latency WHERE operation = '{o}' AND scenario = 'baseline' AND " + VALID + ")"
 AUDIT_NAMES = "['create_queue', 'create_policy', 'activate_policy', 'set_queue_state', 'run_maintenance', 'replay_dead_letter', 'bulk_replay', 'bulk_cancel']"
 
