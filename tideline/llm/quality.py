@@ -2,7 +2,8 @@
 
 The content view sees hashed n-grams of the text; the metadata view sees language, source,
 size and the page's layout (lines, character classes), never the n-grams. In each round each
-view scores all unlabelled documents and labels those that it is surest of for the other.
+view scores all documents outside the labelled sample and labels those that it is surest of for
+the other.
 The labelled sample is held by the driver; the gradients of all documents with pseudo-labels
 are summed over tasks. Both views are calibrated on labelled rows that neither has seen, and
 their calibrated log odds are added, weighted.
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import forget, small_side, without, written
+from ._state import forget, without, written
 from ._text import chunks
 
-#: Labelled rows that are fitted on at most. Unlabelled ones all take part.
+#: Labelled rows that are fitted on at most. All other documents take part as unlabelled ones.
 LABELLED = 3_000
 #: Rounds of exchange, and pseudo-labels of a class that a view gives in one, as a share of the unlabelled rows.
 ROUNDS, SHARE, SURE = 3, 0.08, 0.9
@@ -128,30 +129,30 @@ def _told(history: list[Round], views: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _each(text_col: str, rows):
-    """Record batches of rows(keys, views) for each chunk of texts."""
+    """Record batches of rows(views) for each chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, source = b.column("lang").to_pylist(), b.column("source").to_pylist()
             for row, end, data, offsets in chunks(b.column(text_col)):
-                yield rows(b.column("__key").slice(row, end - row), [_halved(_content(data, offsets)), _halved(_metadata(data, offsets, lang[row:end], source[row:end]))])
+                yield rows([_halved(_content(data, offsets)), _halved(_metadata(data, offsets, lang[row:end], source[row:end]))])
 
     return run
 
 
 def _margins(models: list[tuple[np.ndarray, float]]):
-    def rows(keys: pa.Array, views: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys, *[pa.array((x @ w.astype(np.float32) + b).astype(float)) for x, (w, b) in zip(views, models, strict=True)]], ["__key", "m0", "m1"])
+    def rows(views: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((x @ w.astype(np.float32) + b).astype(float)) for x, (w, b) in zip(views, models, strict=True)], ["m0", "m1"])
 
     return rows
 
 
 def _taught(history: list[Round]):
-    def rows(keys: pa.Array, views: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(views: list[np.ndarray]) -> pa.RecordBatch:
         told = _told(history, views)
         at = np.flatnonzero((told[0] >= 0) | (told[1] >= 0))
         packed = [pa.array([v.tobytes() for v in x[at].astype(np.float16)], pa.binary()) for x in views]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(t[at]) for t in told], *packed], ["__key", "told0", "told1", "content", "metadata"])
+        return pa.RecordBatch.from_arrays([*[pa.array(t[at]) for t in told], *packed], ["told0", "told1", "content", "metadata"])
 
     return rows
 
@@ -225,9 +226,10 @@ def _refit(taught: DataFrame, models: list[tuple[np.ndarray, float]], views: lis
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", labelled: int = LABELLED) -> Model:
-    """Co-train on at most `labelled` rows of labels(doc_id, <label>), those whose ids hash lowest, and all documents(doc_id, lang, source, text) without a label.
+    """Co-train on at most `labelled` rows of labels(doc_id, <label>), those whose ids hash lowest, and all other documents(doc_id, lang, source, text).
 
-    Null ids and labels are left out of the labelled rows; an id with several labels takes the lowest. Documents with a null id are unlabelled.
+    Null ids and labels are left out of the labelled rows; an id with several labels takes the lowest. Documents with a null id are unlabelled,
+    and so are those whose labels are beyond the bound.
     Without labels of both classes every document gets the same score, 1 if any is good.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("__y"))
@@ -248,10 +250,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text_co
     own, mine = [x[train] for x in views], y[train]
     balanced = np.where(mine == 1, 0.5 / mine.mean(), 0.5 / (1 - mine.mean()))
     models = [_train(x, mine.astype(float), balanced) for x in own]
-    # Nulls get keys of their own, of no label, so that they don't meet in one task.
-    pool = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string"))).alias("__key"), "lang", "source", text_col)
-    known_ids = small_side(written(rows.select(F.col("doc_id").cast("string").alias("__key")), "quality-known"))
-    free = lambda fn, schema: pool.mapInArrow(_each(text_col, fn), f"__key string, {schema}").join(known_ids, "__key", "left_anti").drop("__key")
+    # The sample is bounded and so always broadcast: neither texts nor views are shuffled, at any size.
+    pool = documents.select("doc_id", "lang", "source", text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left_anti").drop("doc_id")
+    free = lambda fn, schema: pool.mapInArrow(_each(text_col, fn), schema)
     history: list[Round] = []
     for _ in range(ROUNDS):
         n, cuts = _cuts(free(_margins(models), "m0 double, m1 double"))
