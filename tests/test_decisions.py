@@ -112,10 +112,37 @@ def test_headroom_starts_today(spark):
     assert got == {"a": False, "d": True, "f": False}
 
 
-def test_headroom_alerts(spark):
-    rows = spark.createDataFrame([("a", 0), ("b", 3), ("c", 4)], "parent string, remaining int")
-    got = {(r.parent, r.kind) for r in upkeep.retention_alerts(rows, 1, False).collect()}
-    assert got == {("a", "premake_headroom_exhausted"), ("b", "premake_headroom_low")}
+def test_retention_alerts(spark):
+    def kinds(remaining, *run):
+        rows = spark.createDataFrame([("a", remaining, True), ("b", 9, False)], "parent string, remaining int, worst boolean")
+        return [tuple(r) for r in upkeep.retention_alerts(rows, *run).collect()]
+
+    assert kinds(0, "succeeded", 0, False) == [("premake_headroom_exhausted", "critical")]
+    assert kinds(3, "failed", 1, True) == [("premake_headroom_low", "warning"), ("stats_stale", "warning")]
+    assert kinds(4, "failed", 2, False) == [("sustained_maintenance_failure", "critical")]
+    assert kinds(4, "succeeded", 2, False) == []
+
+
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    random.seed(3)
+    groups = {"a": [7], "b": [random.randrange(10**9) for _ in range(999)], "c": [5] * 40 + [6] * 60, "d": [0, 0, 1], "e": list(range(1, 101))}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v long")
+    got = {r.k: (r.p50, r.p99, r.all) for r in upkeep.nearest_ranks(rows, ["k"], "v", p50=500, p99=990, all=1000).collect()}
+    rank = lambda vs, p: sorted(vs)[max(1, math.ceil(p * len(vs) / 1000)) - 1]
+    assert got == {k: tuple(rank(vs, p) for p in (500, 990, 1000)) for k, vs in groups.items()}
+    assert upkeep.nearest_ranks(rows.where("v is null"), ["k"], "v", p50=500).isEmpty()
+
+
+def test_spawn_depth(spark):
+    chain = [(k, k - 1 if k else None) for k in range(70)]
+    # A star under 100, an unknown source, a source that is the task itself, and a cycle with a branch into it.
+    more = [(100, None), *[(k, 100) for k in range(101, 110)], (200, 999), (201, 200), (300, 300), (301, 300), (400, 401), (401, 402), (402, 400), (403, 400), (500, None)]
+    got = tasks.spawn_depth(spark.createDataFrame(chain + more, "task_id long, source_task_id long"))
+    assert {r.root: (r.max_depth, r["size"]) for r in got.collect()} == {0: (69, 70), 100: (1, 10), 200: (1, 2), 300: (1, 2)}
+    assert tasks.spawn_depth(spark.createDataFrame([], "task_id long, source_task_id long")).isEmpty()
 
 
 def test_conservation_of_moves(spark):

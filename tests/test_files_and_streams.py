@@ -104,7 +104,25 @@ def test_overload_modes(spark, tmp_path):
     peaks = [0.8, 0.8, 0.95, 0.95, 0.6, 0.6, 0.4, 0.4]
     rows = [("x", s(i), p, False) for i, p in enumerate(peaks)]
     got = stream(spark, tmp_path, state.overload_modes, schema, rows[:3], rows[3:])
-    assert [r.mode for r in sorted(got, key=lambda r: r["at"])] == ["normal", "warning", "warning", "enqueue_throttle", "enqueue_throttle", "warning", "warning", "normal"]
+    assert [r.mode for r in sorted(got, key=lambda r: r["at"])] == ["normal", "warning", "warning", "enqueue_throttle", "enqueue_throttle", "enqueue_throttle", "warning", "warning"]
+
+
+def test_next_mode():
+    def modes(*samples):
+        held, out = (0, 0, 0, -1.0), []
+        for at, peak, blocked in samples:
+            held = state.next_mode(held, at, peak, blocked)
+            out.append(held[0])
+        return out
+
+    # A critical peak goes straight to throttling, and from there to a failure of readiness.
+    assert modes((0, 0.9, False), (1, 0.9, False), (2, 1.0, False), (3, 1.0, False), (4, 1.0, False)) == [0, 2, 2, 3, 3]
+    assert modes((0, 0.9, False), (1, 0.69, False), (2, 0.9, False), (3, 0.7, False)) == [0, 0, 0, 1]
+    # Clearing counts after the hold, starts over at a high or blocked sample, and goes down by one step.
+    up = [(0, 0.9, False), (0, 0.9, False)]
+    assert modes(*up, (1, 0.1, False), (1.9, 0.1, False), (2, 0.1, False), (2.1, 0.1, False)) == [0, 2, 2, 2, 2, 1]
+    assert modes(*up, (1, 0.1, False), (2, 0.1, False), (3, 0.1, True), (4, 0.1, False), (5, 0.1, False), (6, 0.1, False)) == [0, 2, 2, 2, 2, 2, 2, 1]
+    assert modes(*up, (1, 0.1, False), (2, 0.1, False), (3, 0.75, False), (4, 0.1, False), (5, 0.1, False)) == [0, 2, 2, 2, 2, 2, 2]
 
 
 def test_token_bucket(spark, tmp_path):
@@ -113,12 +131,17 @@ def test_token_bucket(spark, tmp_path):
     assert {r.request_id: r.allowed for r in got} == {1: True, 2: True, 3: False, 4: True, 5: False}
 
 
-def test_circuit_breaker():
-    held, out = ("closed", 0, 0.0), []
-    for at, ok in [(0, False), (1, False), (2, True), (40, False), (41, True), (80, True), (81, False)]:
-        *held, verdict = state.next_circuit(*held, at, ok, 2, 30.0)
+def test_circuit_breaker(spark, tmp_path):
+    held, out = ("closed", 0, 0, 0.0), []
+    calls = [(0, False), (1, False), (2, True), (31, True), (32, False), (61, True), (62, True), (63, True), (64, False), (65, True), (66, False)]
+    for at, ok in calls:
+        held, verdict = state.next_circuit(held, at, ok, 2, 2, 30.0)
         out.append((verdict, held[0]))
-    assert out == [("failed", "closed"), ("failed", "open"), ("rejected", "open"), ("failed", "open"), ("rejected", "open"), ("passed", "closed"), ("failed", "closed")]
+    want = [("failed", "closed"), ("failed", "open"), ("rejected", "open"), ("passed", "half_open"), ("failed", "open"), ("rejected", "open"), ("passed", "half_open"), ("passed", "closed"), ("failed", "closed"), ("passed", "closed"), ("failed", "closed")]
+    assert out == want
+    rows = [("x", s(at), at, ok) for at, ok in calls]
+    got = stream(spark, tmp_path, lambda d: state.circuit_breaker(d, 2, 2, 30.0), "name string, at timestamp, call_id long, ok boolean", rows[:4], rows[4:])
+    assert [(r.verdict, r.state) for r in sorted(got, key=lambda r: r.call_id)] == want
 
 
 def test_dedup_within_watermark(spark, tmp_path):

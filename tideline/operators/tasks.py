@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cutting import cut
 from ..functions import decisions as d
 from ..functions.clock import at, plus_days, plus_seconds, seconds_between
 
@@ -28,7 +29,10 @@ def claim_head(tasks: DataFrame, queues: DataFrame, now: str) -> DataFrame:
     return due.withColumn("rank", rank).where("rank = 1").select("queue_id", "task_id", "priority", "available_at", F.col("state_code").alias("source_state"))
 
 
-def ended_attempts(attempts: DataFrame) -> DataFrame:
+def ended_attempts(attempts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Ended attempts and the last generation of each task; `of`: only the attempts of its tasks are aggregated."""
+    if of is not None:
+        attempts = attempts.join(of.select("task_id"), "task_id", "left_semi")
     return attempts.groupBy("task_id").agg(F.count_if(F.col("outcome_code") != d.ATTEMPT_ACTIVE).alias("ended"), F.max("generation").alias("generation"))
 
 
@@ -40,7 +44,7 @@ def with_policy(tasks: DataFrame, policies: DataFrame) -> DataFrame:
 def expiry(tasks: DataFrame, policies: DataFrame, attempts: DataFrame, now: str) -> DataFrame:
     """Leases that have ended, and what becomes of their tasks: new_state, reason, new_available_at, terminal_at, completed."""
     ended = tasks.where((F.col("state_code") == d.LEASED) & (F.col("lease_expires_at") <= at(now)))
-    known = with_policy(ended, policies).join(ended_attempts(attempts).select("task_id", "ended"), "task_id", "left")
+    known = with_policy(ended, policies).join(ended_attempts(attempts, ended).select("task_id", "ended"), "task_id", "left")
     completed = (F.coalesce("ended", F.lit(0)) + 1).cast("int")
     again = d.retry_at(at(now))
     state = F.when(F.col("cancel_requested"), d.CANCELLED).when(d.retries_left(F.col("completed")), d.waiting_state(again, at(now))).otherwise(d.DEAD)
@@ -68,7 +72,7 @@ def claim_batch(tasks: DataFrame, queues: DataFrame, policies: DataFrame, attemp
     passed = expiry(tasks, policies, attempts, now).where(F.col("new_state") != d.READY).select("task_id")
     rank = F.row_number().over(Window.partitionBy("queue_id").orderBy(*_claim_order()))
     got = due.join(passed, "task_id", "left_anti").withColumn("rank", rank).where(F.col("rank") <= per_queue)
-    last = ended_attempts(attempts).select("task_id", "generation")
+    last = ended_attempts(attempts, got).select("task_id", "generation")
     return got.join(last, "task_id", "left").select(
         "queue_id", "task_id", F.col("rank").cast("int").alias("rank"), F.col("state_code").alias("source_state"), F.lit(d.LEASED).alias("state_code"),
         (F.coalesce("generation", F.lit(0)) + 1).alias("generation"), plus_seconds(at(now), lease_seconds).alias("lease_expires_at"),
@@ -84,7 +88,7 @@ def claim_multi(heads: DataFrame, requests: DataFrame) -> DataFrame:
 def retry_decision(tasks: DataFrame, policies: DataFrame, attempts: DataFrame, now: str, fatal: str | None = None) -> DataFrame:
     """Leased tasks as if their attempt failed now. fatal: a failure code that is not retried (the latest failure's code is looked at)."""
     held = with_policy(tasks.where(F.col("state_code") == d.LEASED), policies)
-    known = held.join(ended_attempts(attempts).select("task_id", "ended"), "task_id", "left").withColumn("completed", (F.coalesce("ended", F.lit(0)) + 1).cast("int"))
+    known = held.join(ended_attempts(attempts, held).select("task_id", "ended"), "task_id", "left").withColumn("completed", (F.coalesce("ended", F.lit(0)) + 1).cast("int"))
     stop = F.lit(False)
     if fatal is not None:
         last = last_failure(attempts).select("task_id", F.col("failure_code").alias("last_code"))
@@ -159,9 +163,9 @@ def task_lookup(tasks: DataFrame, policies: DataFrame, queues: DataFrame, attemp
     """Tasks as their owner sees them: active, or ended and within retention, with attempts and the last failure."""
     seen = tasks.where((F.col("state_code") <= d.LEASED) | (at(now) < plus_days(F.col("terminal_at"), days)))
     named = seen.join(queues.select("queue_id", "name"), "queue_id").join(policies.select("policy_id", "version"), "policy_id")
-    failed = last_failure(attempts).select("task_id", F.col("failure_code").alias("last_failure"))
-    counts = ended_attempts(attempts).select("task_id", "ended")
-    out = named.join(counts, "task_id", "left").join(failed, "task_id", "left")
+    failed = F.when(F.col("failure_code").isNotNull() & F.col("ended_at").isNotNull(), F.struct("ended_at", "attempt_id"))
+    history = attempts.groupBy("task_id").agg(F.count_if(F.col("outcome_code") != d.ATTEMPT_ACTIVE).alias("ended"), F.max_by("failure_code", failed).alias("last_failure"))
+    out = named.join(history, "task_id", "left")
     return out.select("task_id", F.col("name").alias("queue_name"), "state_code", F.when(F.col("state_code") <= d.LEASED, "active").otherwise("terminal").alias("part"), F.col("version").alias("policy_version"), F.coalesce("ended", F.lit(0)).alias("ended_attempts"), F.coalesce("failure_code", "last_failure").alias("failure_code"))
 
 
@@ -236,14 +240,22 @@ def lineage_consistency(tasks: DataFrame) -> DataFrame:
 
 
 def spawn_depth(tasks: DataFrame) -> DataFrame:
-    """Depth and size of each tree of spawned tasks with two members or more, by recursion over levels."""
-    spark = tasks.sparkSession
-    out = spark.sql(
-        """WITH RECURSIVE t(task_id, root, depth) AS (
-             SELECT a.task_id, a.task_id, 0 FROM {tasks} a LEFT ANTI JOIN {tasks} p ON a.source_task_id = p.task_id AND a.source_task_id <> a.task_id
-             UNION ALL
-             SELECT c.task_id, t.root, t.depth + 1 FROM {tasks} c JOIN t ON c.source_task_id = t.task_id AND c.task_id <> t.task_id)
-           SELECT root, max(depth) AS max_depth, count(*) AS size FROM t GROUP BY root HAVING count(*) > 1""",
-        tasks=tasks.select("task_id", "source_task_id"),
-    )
-    return out
+    """Depth and size of each tree of spawned tasks with two members or more; task_id is unique.
+
+    A task whose source is null, unknown or itself is a root; tasks under a cycle belong to no tree. Each round doubles the
+    steps that every task looks up, so a tree of depth n takes log2(n) rounds.
+    """
+    links = tasks.select("task_id", F.when(F.col("source_task_id") != F.col("task_id"), F.col("source_task_id")).alias("up"))
+    known = links.select(F.col("task_id").alias("up"), F.lit(1).alias("steps"))
+    reached = cut(links.join(known, "up", "left").select("task_id", F.when(F.col("steps") == 1, F.col("up")).otherwise(F.col("task_id")).alias("up"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    climbing, before = F.col("next").isNotNull(), None
+    while True:
+        above = reached.where("steps > 0").select(F.col("task_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        reached = cut(reached.join(above, "up", "left").select("task_id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), climbing.alias("climbing")))
+        left = reached.where("climbing").count()
+        # Paths that end get fewer by each doubling; only those into cycles do not.
+        if left in (0, before):
+            break
+        before = left
+    trees = reached.where("not climbing").groupBy(F.col("up").alias("root")).agg(F.max("steps").alias("max_depth"), F.count("*").alias("size"))
+    return trees.where("size > 1")

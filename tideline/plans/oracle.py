@@ -148,8 +148,8 @@ SELECT (SELECT count(*) FROM g) AS deleted, min(expires_at) AS oldest_remaining,
     "retention_window": """SELECT w.window, w.policy_days, CASE WHEN w.partitioned THEN CAST(DATE '1998-09-02' - o.day AS INT) END AS oldest_age_days
 FROM (VALUES ('task_terminal', 90, true), ('attempt', 90, true), ('admin_audit', 90, true), ('correctness_enqueue_dedup', 90, false), ('correctness_complete_replay', 7, false), ('correctness_admin_replay', 30, false), ('delivery_published', 30, true), ('delivery_dead_letter', 90, true)) AS w("window", policy_days, partitioned)
 LEFT JOIN (SELECT 'attempt' AS "window", CAST(min(claimed_at) AS DATE) AS day FROM fx_attempts UNION ALL SELECT 'task_terminal', CAST(min(terminal_at) AS DATE) FROM fx_tasks) o ON o."window" = w."window" """,
-    "retention_alerts": f"""WITH h AS ({HEADROOM}) SELECT parent, CASE WHEN remaining <= 0 THEN 'premake_headroom_exhausted' ELSE 'premake_headroom_low' END AS kind, CASE WHEN remaining <= 0 THEN 'critical' ELSE 'warning' END AS severity FROM h WHERE remaining <= 3
-UNION ALL SELECT parent, 'sustained_maintenance_failure', 'critical' FROM h UNION ALL SELECT parent, 'stats_stale', 'warning' FROM h""",
+    "retention_alerts": f"""WITH h AS ({HEADROOM}) SELECT CASE WHEN remaining <= 0 THEN 'premake_headroom_exhausted' ELSE 'premake_headroom_low' END AS kind, CASE WHEN remaining <= 0 THEN 'critical' ELSE 'warning' END AS severity FROM h WHERE worst AND remaining <= 3
+UNION ALL SELECT 'sustained_maintenance_failure', 'critical' UNION ALL SELECT 'stats_stale', 'warning'""",
     "maintenance_status": f"SELECT 1 AS singleton, 'succeeded' AS outcome, {N} AS started_at, {N} + INTERVAL 60 SECOND AS finished_at, 0 AS consecutive_failures",
     "op_stats": f"""SELECT operation, scenario, count(*) AS samples, count(*) FILTER (WHERE {VALID}) AS valid_attempts, count(*) FILTER (WHERE outcome IN ('success', 'empty')) AS successes, count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE outcome = 'planned_pause') AS planned_pause, count(*) FILTER (WHERE outcome = 'planned_drain') AS planned_drain, count(*) FILTER (WHERE outcome = 'invalid_request') AS invalid_requests,
   round(count(*) FILTER (WHERE outcome IN ('success', 'empty')) / nullif(count(*) FILTER (WHERE {VALID}), 0)::DOUBLE, 6) AS success_ratio FROM fx_latency GROUP BY operation, scenario""",

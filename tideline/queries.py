@@ -201,7 +201,7 @@ def retention_window(spark: SparkSession, t: Tables) -> DataFrame:
 
 @_query
 def retention_alerts(spark: SparkSession, t: Tables) -> DataFrame:
-    return upkeep.retention_alerts(upkeep.partition_headroom(_parents(t), N[:10]), failures=2, stale=True)
+    return upkeep.retention_alerts(upkeep.partition_headroom(_parents(t), N[:10]), outcome="failed", failures=2, stale=True)
 
 
 @_query
@@ -212,9 +212,10 @@ def maintenance_status(spark: SparkSession, t: Tables) -> DataFrame:
 @_query
 def select_candidate(spark: SparkSession, t: Tables) -> DataFrame:
     valid = ~F.col("outcome").isin("planned_pause", "planned_drain", "invalid_request")
-    p99 = F.expr("cast(percentile_disc(0.99) within group (order by case when outcome not in ('planned_pause', 'planned_drain', 'invalid_request') then latency_ns end) as bigint)")
-    rows = t(L).groupBy(F.concat_ws("/", "operation", "scenario").alias("candidate_id")).agg((F.count("*") * 1024).alias("bytes"), p99.alias("p99_ns"), F.count("*").alias("wal_bytes"), (F.count_if(F.col("outcome").isin("success", "empty")) / F.nullif(F.count_if(valid), F.lit(0))).alias("success_ratio"))
-    return upkeep.select_candidate(rows)
+    runs = t(L).withColumn("candidate_id", F.concat_ws("/", "operation", "scenario"))
+    p99 = upkeep.nearest_ranks(runs.where(valid), ["candidate_id"], "latency_ns", p99_ns=990)
+    rows = runs.groupBy("candidate_id").agg((F.count("*") * 1024).alias("bytes"), F.count("*").alias("wal_bytes"), (F.count_if(F.col("outcome").isin("success", "empty")) / F.nullif(F.count_if(valid), F.lit(0))).alias("success_ratio"))
+    return upkeep.select_candidate(rows.join(p99, "candidate_id", "left"))
 
 
 @_query

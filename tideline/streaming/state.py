@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Thresholds that raise and clear the modes.
-ENTER_WARN, ENTER_CRITICAL, CLEAR_WARN, CLEAR_CRITICAL = 0.7, 0.9, 0.5, 0.7
+ENTER_WARN, ENTER_CRITICAL, CLEAR_WARN, CLEAR_CRITICAL, CLEAR_HOLD = 0.7, 0.9, 0.5, 0.7, 1.0
 MODES = ("normal", "warning", "enqueue_throttle", "readiness_failure")
 
 
@@ -108,16 +108,24 @@ def delayed_visibility(tasks: DataFrame, now: DataFrame | None = None) -> DataFr
     return timed.groupBy("task_id").applyInPandasWithState(fold, "task_id bigint, visible_at timestamp", "due bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def next_mode(mode: int, run: int, peak: float, blocked: bool) -> tuple[int, int]:
-    """(mode, samples in a row towards a change) after a sample. Two samples raise the mode by a step; two below its clearing threshold lower it."""
-    up = peak >= (ENTER_WARN if mode == 0 else ENTER_CRITICAL) and mode < len(MODES) - 1
-    down = mode > 0 and not blocked and peak < (CLEAR_WARN if mode == 1 else CLEAR_CRITICAL)
-    run = (max(run, 0) + 1) if up else (min(run, 0) - 1) if down else 0
-    if run >= 2:
-        return mode + 1, 0
-    if run <= -2:
-        return mode - 1, 0
-    return mode, run
+def next_mode(held: tuple[int, int, int, float], at: float, peak: float, blocked: bool, hold: float = CLEAR_HOLD) -> tuple[int, int, int, float]:
+    """(mode, samples that raise it, samples that clear it, start of clearing or -1) after a sample.
+
+    Two raising samples in a row set the mode that the last one calls for: a critical peak throttles from below, and fails
+    readiness from there. Clearing starts at a sample under the mode's threshold; samples count once `hold` seconds have passed
+    since, and two lower the mode by a step. Any other sample, or a blocked one, starts it over.
+    """
+    mode, raising, clearing, since = held
+    called = (3 if mode >= 2 else 2) if peak >= ENTER_CRITICAL else 1 if peak >= ENTER_WARN else 0
+    if called > mode:
+        return (called, 0, 0, -1.0) if raising + 1 >= 2 else (mode, raising + 1, 0, -1.0)
+    if mode == 0 or blocked or peak >= (CLEAR_WARN if mode == 1 else CLEAR_CRITICAL):
+        return mode, 0, 0, -1.0
+    if since < 0:
+        return mode, 0, 0, at
+    if at - since < hold:
+        return mode, 0, clearing, since
+    return (mode - 1, 0, 0, -1.0) if clearing + 1 >= 2 else (mode, 0, clearing + 1, since)
 
 
 def take_tokens(tokens: float, last: float, at: float, rate: float, burst: float, cost: float = 1.0) -> tuple[bool, float]:
@@ -126,16 +134,25 @@ def take_tokens(tokens: float, last: float, at: float, rate: float, burst: float
     return (True, tokens - cost) if tokens >= cost else (False, tokens)
 
 
-def next_circuit(state: str, failures: int, opened: float, at: float, ok: bool, threshold: int, cool_down: float) -> tuple[str, int, float, str]:
-    """(state, failures, opened, verdict) of a circuit breaker after a call at a time that would end ok or not."""
-    if state == "open" and at < opened + cool_down:
-        return state, failures, opened, "rejected"
+Circuit = tuple[str, int, int, float]
+
+
+def next_circuit(held: Circuit, at: float, ok: bool, failures: int, successes: int, cool_down: float) -> tuple[Circuit, str]:
+    """The circuit (state, failures, successes, opened) after a call at a time that would end ok or not, and the verdict on the call.
+
+    `failures` in a row open it. After cool_down it is half open: `successes` calls close it, and one failure opens it again.
+    A call ends before the next one begins, so one probe at most is under way.
+    """
+    state, failed, passed, opened = held
+    if state == "open" and at >= opened + cool_down:
+        state, passed = "half_open", 0
+    if state == "open":
+        return (state, failed, passed, opened), "rejected"
     if ok:
-        return "closed", 0, opened, "passed"
-    failures += 1
-    if state != "closed" or failures >= threshold:
-        return "open", failures, at, "failed"
-    return "closed", failures, opened, "failed"
+        closes = state == "half_open" and passed + 1 >= successes
+        return ("closed", 0, 0, opened) if closes or state == "closed" else (state, failed, passed + 1, opened), "passed"
+    opens = state == "half_open" or failed + 1 >= failures
+    return ("open", failures, 0, at) if opens else (state, failed + 1, 0, opened), "failed"
 
 
 def _folded(rows: DataFrame, key: str, order: list[str], step: Callable[[tuple, object], tuple[tuple, tuple]], start: tuple, schema: str, state_schema: str, names: list[str]) -> DataFrame:
@@ -150,14 +167,14 @@ def _folded(rows: DataFrame, key: str, order: list[str], step: Callable[[tuple,
     return rows.groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def overload_modes(samples: DataFrame) -> DataFrame:
+def overload_modes(samples: DataFrame, hold: float = CLEAR_HOLD) -> DataFrame:
     """samples(name, at, peak, blocked): the mode after each sample."""
 
     def step(held: tuple, r) -> tuple[tuple, tuple]:
-        mode, run = next_mode(int(held[0]), int(held[1]), float(r.peak), bool(r.blocked))
-        return (mode, run), (r.at, MODES[mode])
+        held = next_mode(tuple(held), r.at.timestamp(), float(r.peak), bool(r.blocked), hold)
+        return held, (r.at, MODES[held[0]])
 
-    return _folded(samples, "name", ["at"], step, (0, 0), "name string, at timestamp, mode string", "mode int, run int", ["name", "at", "mode"])
+    return _folded(samples, "name", ["at"], step, (0, 0, 0, -1.0), "name string, at timestamp, mode string", "mode int, raising int, clearing int, since double", ["name", "at", "mode"])
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
@@ -172,14 +189,14 @@ def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     return _folded(requests, "name", ["at", "request_id"], step, (burst, -1.0), "name string, request_id bigint, allowed boolean", "tokens double, last double", ["name", "request_id", "allowed"])
 
 
-def circuit_breaker(calls: DataFrame, threshold: int = 5, cool_down: float = 30.0) -> DataFrame:
+def circuit_breaker(calls: DataFrame, failures: int = 5, successes: int = 1, cool_down: float = 30.0) -> DataFrame:
     """calls(name, at, call_id, ok): the verdict on each call and the state after it."""
 
     def step(held: tuple, r) -> tuple[tuple, tuple]:
-        state, failures, opened, verdict = next_circuit(*held, r.at.timestamp(), bool(r.ok), threshold, cool_down)
-        return (state, failures, opened), (int(r.call_id), verdict, state)
+        held, verdict = next_circuit(tuple(held), r.at.timestamp(), bool(r.ok), failures, successes, cool_down)
+        return held, (int(r.call_id), verdict, held[0])
 
-    return _folded(calls, "name", ["at", "call_id"], step, ("closed", 0, 0.0), "name string, call_id bigint, verdict string, state string", "state string, failures int, opened double", ["name", "call_id", "verdict", "state"])
+    return _folded(calls, "name", ["at", "call_id"], step, ("closed", 0, 0, 0.0), "name string, call_id bigint, verdict string, state string", "state string, failed int, passed int, opened double", ["name", "call_id", "verdict", "state"])
 
 
 def relay(deliveries: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str):
