@@ -187,11 +187,21 @@ def test_canonical_json_column(spark):
     assert rows[2].f is None
 
 
-def test_sanitiser():
-    got = text.sanitise({"ok": "x" * 5000, "secret": "y", "deep": {"deep": {"deep": {"deep": {"deep": {"deep": {"deep": {"deep": {}}}}}}}}}, frozenset({"ok", "deep"}))
-    assert len(got["ok"]) == 2048
-    assert got["secret"] == "[REDACTED]"
-    assert "[REDACTED]" in str(got["deep"])
+def test_sanitiser(spark):
+    allowed = frozenset({"ok", "deep", "token", "List"})
+    clean = lambda v: text.sanitise(v, allowed)
+    assert clean({"ok": "x" * 2049, "OK ": "x" * 2048, "other": 1}) == {"ok": "[TRUNCATED]", "OK ": "x" * 2048}
+    # Secret keys are masked, allowed or not, and at any depth.
+    assert clean({"token": 1, "My Password": {"ok": 1}, "deep": {"Set-Cookie": 2, "ok": None}}) == {"token": "[REDACTED]", "My Password": "[REDACTED]", "deep": {"Set-Cookie": "[REDACTED]", "ok": None}}
+    assert clean({"list": list(range(65))}) == {"list": [*range(64), "[TRUNCATED]"]}
+    assert clean(list(range(64))) == list(range(64))
+    value, cut = 7, "[TRUNCATED]"
+    for k in range(9):
+        value, cut = {"deep": value}, cut if k == 0 else {"deep": cut}
+    assert clean(value["deep"]) == value["deep"]
+    assert clean(value) == {"deep": cut}
+    rows = spark.createDataFrame([('{"ok": true, "no": 1}',), ("{broken",), (None,)], "t string")
+    assert [r[0] for r in rows.select(text.sanitised_json(F.col("t"), allowed)).collect()] == ['{"ok": true}', "[REDACTED]", None]
 
 
 def test_cursors():

@@ -11,8 +11,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a diagnostic may hold.
-DEPTH, ITEMS, STRING_BYTES, REDACTED = 8, 64, 2048, "[REDACTED]"
+# What a diagnostic may hold, the marks of what it may not, and keys that are secret by name or by a part of it.
+DEPTH, ITEMS, STRING_BYTES, REDACTED, TRUNCATED = 8, 64, 2048, "[REDACTED]", "[TRUNCATED]"
+SECRET_KEYS = frozenset((
+    "authorization", "cookie", "set-cookie", "payload", "payload_body", "task_payload", "event_payload", "claim_token", "claim-token",
+    "x-queue-claim-token", "credential", "credentials", "secret", "password", "passwd", "token", "access_token", "refresh_token",
+    "api_key", "apikey", "database_url", "dsn", "sentry_dsn", "bearer",
+))
+SECRET_PARTS = ("claim_token", "claim-token", "authorization", "password", "secret", "credential", "payload", "cookie")
 
 
 def canonical(text: str | None) -> str | None:
@@ -38,16 +44,28 @@ def fingerprint(column: Column) -> Column:
     return F.sha2(canonical_json(column), 256)
 
 
+def _key(name: str) -> str:
+    return name.strip().lower().replace(" ", "_")
+
+
+def _secret(key: str) -> bool:
+    return key in SECRET_KEYS or any(part in key for part in SECRET_PARTS)
+
+
 def sanitise(value: object, allowed: frozenset[str], depth: int = 0) -> object:
-    """A diagnostic value with unknown keys redacted, deep and long parts cut."""
-    if depth >= DEPTH:
-        return REDACTED
+    """A JSON value as a diagnostic may show it: values of secret keys are masked, other keys that are not allowed (whatever their case) left out.
+
+    Long strings and what lies deeper than DEPTH become a mark, and so does the rest of a long list.
+    """
+    if depth > DEPTH:
+        return TRUNCATED
     if isinstance(value, dict):
-        return {k: sanitise(v, allowed, depth + 1) if k in allowed else REDACTED for k, v in list(value.items())[:ITEMS]}
+        known = {_key(k) for k in allowed}
+        return {k: REDACTED if _secret(_key(k)) else sanitise(v, allowed, depth + 1) for k, v in value.items() if _secret(_key(k)) or _key(k) in known}
     if isinstance(value, list):
-        return [sanitise(v, allowed, depth + 1) for v in value[:ITEMS]]
+        return [sanitise(v, allowed, depth + 1) for v in value[:ITEMS]] + [TRUNCATED] * (len(value) > ITEMS)
     if isinstance(value, str):
-        return value.encode()[:STRING_BYTES].decode(errors="ignore")
+        return TRUNCATED if len(value.encode(errors="replace")) > STRING_BYTES else value
     return value
 
 
