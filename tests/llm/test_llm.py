@@ -512,6 +512,15 @@ def test_cotraining(judged):
     assert sum(r.accepted == (r.quality == 1) for r in got) / len(got) > 0.95
 
 
+def test_classifiers_take_one_row_of_each_labelled_id(judged):
+    docs, labels = judged
+    more = docs.unionByName(docs).unionByName(docs.where("doc_id < 9"))
+    one, two = (toxicity.fit(d, labels) for d in (docs, more))
+    assert (one.present == two.present).all() and one.intercept == two.intercept
+    one, two = (quality.fit(d, labels) for d in (docs, more))
+    assert (one.content == two.content).all() and one.mix == two.mix
+
+
 def test_classifiers_without_labels(docs, judged):
     none = judged[1].limit(0)
     assert toxicity.report(docs.select("doc_id", "text"), none).count() == docs.count()

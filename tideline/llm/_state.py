@@ -77,6 +77,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row of df for each key: the least of its rows, so that repeated rows add none and their order tells nothing."""
+    return df.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("__least")).select(key, "__least.*")
+
+
 def _quiet_drop(spark: SparkSession, path: str) -> None:
     try:
         _drop(spark, path)

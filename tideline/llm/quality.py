@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import forget, without, written
+from ._state import forget, one_each, without, written
 from ._text import chunks
 
 #: Labelled rows that are fitted on at most. All other documents take part as unlabelled ones.
@@ -228,14 +228,14 @@ def _refit(taught: DataFrame, models: list[tuple[np.ndarray, float]], views: lis
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", labelled: int = LABELLED) -> Model:
     """Co-train on at most `labelled` rows of labels(doc_id, <label>), those whose ids hash lowest, and all other documents(doc_id, lang, source, text).
 
-    Null ids and labels are left out of the labelled rows; an id with several labels takes the lowest. Documents with a null id are unlabelled,
+    Null ids and labels are left out of the labelled rows; an id with several labels takes the lowest, and one with several rows its least. Documents with a null id are unlabelled,
     and so are those whose labels are beyond the bound.
     Without labels of both classes every document gets the same score, 1 if any is good.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("__y"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("__id"), "__y")
     sample = written(chosen, "quality-sample")  # bounded, so it can be broadcast
-    held = documents.select("doc_id", "lang", "source", text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__id", "__y", "lang", "source", text_col)
+    held = one_each(documents.select("doc_id", "lang", "source", text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__id", "__y", "lang", "source", text_col), "__id")
     got = held.mapInArrow(_views(text_col, ["__id", "__y"]), f"__id {documents.schema['doc_id'].dataType.simpleString()}, __y int, content binary, metadata binary").toPandas()
     got = got.sort_values("__id", kind="stable")
     y = got["__y"].to_numpy()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._state import without, written
+from ._state import one_each, without, written
 from ._text import chunks, lower_ascii
 
 #: Labelled rows that the classifier is fitted on at most: those whose id hashes lowest.
@@ -84,11 +84,11 @@ def _counts(text_col: str, columns: list[str]):
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Fit on at most `sample` rows of labels(doc_id, <label>), the ones given; without both classes every score is the share of positives.
 
-    Null ids and labels are left out; an id with several labels takes the highest.
+    Null ids and labels are left out; an id with several labels takes the highest, and one with several texts its least.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     chosen = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "__y"), "toxicity-sample")  # bounded, so it can be broadcast
-    held = documents.select("doc_id", text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", text_col)
+    held = one_each(documents.select("doc_id", text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", text_col), "__id")
     got = held.mapInArrow(_counts(text_col, ["__id", "__y"]), f"__id {documents.schema['doc_id'].dataType.simpleString()}, __y int, grams binary, counts binary, size bigint").toPandas()
     got = got.sort_values(["__id", "size"], kind="stable")
     y, size = got["__y"].to_numpy(dtype=float), got["size"].to_numpy()
