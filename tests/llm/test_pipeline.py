@@ -6,6 +6,8 @@ import corpus_pipeline
 import pytest
 from test_llm import bags, lines
 
+from tideline.llm import _state, minhash
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -62,3 +64,40 @@ def test_empty_tables(spark, folder):
         assert out.isEmpty(), name
         if name != "best-fit packing":
             assert out.columns == docs.columns
+
+
+def test_near_dedup_moves_few_texts_and_leaves_few_files(spark, folder, monkeypatch, tmp_path):
+    """With joins that may not broadcast, as on large inputs: texts alone in their classes are not shuffled, and tables that are spent go."""
+    r = random.Random(55)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(3000)) for _ in range(60)]
+    texts += [texts[0], texts[1] + " more", texts[2] + " more"]
+    docs = rows(spark, texts).repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(minhash, "small_side", lambda df, *_: df)
+    monkeypatch.setattr(_state, "shared_dir", lambda _: str(tmp_path))
+    shuffled = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite())[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        kept = sorted(x.doc_id for x in STAGE["MinHash near-dedup"](spark, docs, folder[0]).select("doc_id", "text").collect())
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept == list(range(60))
+    assert moved < 0.5 * sum(map(len, texts))
+    left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
+    assert not left & {f"tideline-minhash-{n}" for n in ("signed", "nodes", "rows", "sets", "few", "classes")}
+
+
+def test_marks(spark):
+    """Every key that is there is found; few others are, and each row is on one side."""
+    keys = spark.range(0, 40_000, 2).selectExpr("id * 7919 AS k")
+    rows = spark.range(0, 40_000).selectExpr("id * 7919 AS k", "id")
+    marks = _state.Marks(keys, "k", 20_000, "test-marks")
+    there = {x.id for x in marks.split(rows, "k", True).collect()}
+    rest = {x.id for x in marks.split(rows, "k", False).collect()}
+    assert set(range(0, 40_000, 2)) <= there and len(there) < 21_000
+    assert not there & rest and len(there) + len(rest) == 40_000
+    none = _state.Marks(keys.limit(0), "k", 0, "test-marks")
+    assert none.split(rows, "k", True).isEmpty() and none.split(rows, "k", False).count() == 40_000

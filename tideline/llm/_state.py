@@ -7,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -16,6 +16,8 @@ from ..shipping import ship
 BROADCAST_ROWS = 100_000
 #: And most bytes, as the optimiser knows them from the files.
 BROADCAST_BYTES = 4 << 20
+#: Rows of a table of marks at most, and 64-bit words in each: 3 MB, whatever the number of keys.
+MARK_ROWS, MARK_WORDS = 1 << 16, 6
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -97,3 +99,34 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
         return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+
+def _mark(key: str, rows: int) -> tuple[Column, list[Column]]:
+    """The row of a key (a column of long numbers) in a table of so many marks, and its bit in each word."""
+    turn = F.xxhash64(F.col(key), F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(turn, 6 * k), F.lit(64)).cast("int")) for k in range(MARK_WORDS)]
+    return F.pmod(F.xxhash64(F.col(key), F.lit(2)), F.lit(rows)), bits
+
+
+class Marks:
+    """A Bloom filter of the keys (long numbers) in a column, as a table that a join broadcasts whatever their number.
+
+    Each key sets a bit in each word of one row. With 3 million keys some 2 % of other keys seem to be there too;
+    more keys let more through, and an exact join has to follow.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, n_keys: int, name: str):
+        self.rows = min(MARK_ROWS, n_keys // 16 + 1)
+        row, bits = _mark(key, self.rows)
+        words = [F.bit_or(b).alias(f"__word{k}") for k, b in enumerate(bits)]
+        self.table = written(keys.groupBy(row.alias("__mark")).agg(*words), name)
+
+    def split(self, df: DataFrame, key: str, there: bool) -> DataFrame:
+        """The rows of df whose key may be there, or those whose key is not there for sure."""
+        row, bits = _mark(key, self.rows)
+        own = F.lit(True)
+        for k, b in enumerate(bits):
+            own = own & (F.col(f"__word{k}").bitwiseAND(b) != 0)
+        met = df.withColumn("__row", row).join(F.broadcast(self.table), F.col("__row") == F.col("__mark"), "inner" if there else "left")
+        return met.where(own if there else ~F.coalesce(own, F.lit(False))).select(*df.columns)

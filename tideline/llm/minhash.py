@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._state import small_side, written
+from ._state import Marks, forget, small_side, written
 from ._text import U64, chunks, draws, mix, windows, words
 from .components import components
 
@@ -211,9 +211,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     The set of b goes once to each group of about PART of its pairs, however many these are, and is met there in passing.
     """
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    head = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("node", "b"), "b")
-    other = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a").join(sets.withColumnRenamed("node", "a"), "a")
-    both = head.select("b", "part", F.lit(None).cast("long").alias("a"), "elements").union(other.select("b", "part", "a", "elements"))
+    head = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    other = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a")
+    wanted = written(head.select("b", "part", F.lit(None).cast("long").alias("a")).union(other), "minhash-places")
+    both = small_side(wanted).withColumn("node", F.coalesce("a", "b")).join(sets.select("node", "elements"), "node").select("b", "part", "a", "elements")
     met = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return met.mapInArrow(_compare(least), "a bigint, b bigint")
 
@@ -411,9 +412,13 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
     # Only buckets of several nodes go on.
     rows = written(rows.join(shared, "bucket").select("bucket", "node", "weight", "head", "n"), "minhash-rows")
-    wanted = written(nodes.select("node", "rep").join(rows.select("node").distinct(), "node", "left_semi"), "minhash-wanted").withColumnRenamed("node", "__node")
-    texts = docs.join(small_side(wanted), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = written(texts.mapInArrow(_element_sets(size), "node bigint, weight bigint, elements binary").dropDuplicates(["node"]), "minhash-sets")
+    wanted = written(rows.select("node").distinct(), "minhash-wanted")
+    # Texts of other nodes are not shuffled, whatever the number of those that are wanted.
+    marks = Marks(wanted, "node", wanted.count(), "minhash-marks")
+    texts = marks.split(docs.select("node", "text"), "node", True).dropDuplicates(["node"]).join(small_side(wanted), "node", "left_semi")
+    sets = written(texts.select("node", "text").mapInArrow(_element_sets(size), "node bigint, weight bigint, elements binary"), "minhash-sets")
+    forget(marks.table)
+    forget(wanted)
 
     first = written(rows.groupBy("node").agg(F.min("head").alias("head")).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "minhash-pairs")
     links = written(_linked(first, sets, least), "minhash-links")
@@ -426,6 +431,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
     pairs = written(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "minhash-pairs")
     if not pairs.isEmpty():
         links = links.unionByName(written(_linked(pairs, sets, least), "minhash-links"))
+    forget(few)
     labels = components(links)
     more = _large_buckets(rows.where(F.col("n") > SMALL).select("bucket", "node"), sets, links, labels, least)
     if more is not None:
@@ -433,22 +439,33 @@ def near_duplicates(df: DataFrame, text_col: str = "text", size: int = SHINGLE,
     classes = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     names = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = written(classes.join(names, "label").select("node", "label", "class_id"), "minhash-classes")
+    for spent in (nodes, rows, sets):
+        forget(spent)
     return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "label", "class_id")
 
 
 def keep_one(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row of df(doc_id, text, ...) for each class: of least doc_id (null where all are), then of least node; any one of rows that share both."""
-    found = near_duplicates(df, text_col).groupBy("label", "doc_id", "node").agg(F.count("*").alias("times"))
+    every = near_duplicates(df, text_col)
+    found = every.groupBy("label", "doc_id", "node").agg(F.count("*").alias("times"))
     # Structs compare field by field, so a null id comes after all others. A node has one label: no two classes choose the same (doc_id, node).
     first = F.min_by(F.struct("doc_id", "node", "times"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("c")
-    chosen = found.groupBy("label").agg(first).select(F.col("c.doc_id").alias("__id"), F.col("c.node").alias("__node"), F.col("c.times").alias("__times"))
-    chosen = written(chosen, "minhash-kept")
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__node") == F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = df.join(small_side(chosen), same).drop("__id")
-    if chosen.where("__times > 1").isEmpty():
-        return kept.drop("__node", "__times")
+    chosen = found.groupBy("label").agg(first, F.sum("times").alias("members"))
+    chosen = written(chosen.select("label", F.col("c.doc_id").alias("__id"), F.col("c.node").alias("__node"), F.col("c.times").alias("__times"), "members"), "minhash-chosen")
+    shared = written(every.join(chosen.where("members > 1").select("label"), "label", "left_semi").select("node").distinct(), "minhash-shared")
+    marks = Marks(shared, "node", shared.count(), "minhash-marks")
+    some = written(marks.split(chosen, "__node", True).select("__id", "__node", "__times"), "minhash-kept")
+    for spent in (every, chosen, shared):
+        forget(spent)
+    # Documents alone in their classes stay where they are, whatever the number of classes; only the others are joined.
+    rows = df.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    alone = marks.split(rows, "__own", False).drop("__own")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__node") == F.col("__own"))
+    kept = marks.split(rows, "__own", True).join(small_side(some), same).drop("__id", "__own")
+    if some.where("__times > 1").isEmpty():
+        return alone.unionByName(kept.drop("__node", "__times"))
     once = kept.where("__times = 1")
-    return once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__node"])).drop("__node", "__times")
+    return alone.unionByName(once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__node"])).drop("__node", "__times"))
 
 
 def report(documents: DataFrame) -> DataFrame:
